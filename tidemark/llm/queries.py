@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .language_id import op8_language_id
 from .mixing import OP4_SQL, op4_mixing
+from .pii import op1_pii
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL = {
