@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_text import op9_html_text
 from .language_id import op8_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": OP2_SQL,
     "op4_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
