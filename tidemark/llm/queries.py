@@ -8,12 +8,14 @@ from .html_text import op9_html_text
 from .language_id import op8_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
+from .secrets import op7_secrets
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secrets": op7_secrets,
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
 }
