@@ -9,10 +9,12 @@ from .language_id import op8_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
 from .secrets import op7_secrets
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
@@ -22,6 +24,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
