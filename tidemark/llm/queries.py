@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
+from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .language_id import op8_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
     "op8_language_id": op8_language_id,
@@ -26,5 +28,6 @@ ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
