@@ -11,6 +11,7 @@ from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
 from .secrets import op7_secrets
 from .substring_dedup import OP3_SQL, op3_substring_dedup
+from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
