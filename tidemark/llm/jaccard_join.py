@@ -2,10 +2,14 @@
 
 A document's set is its distinct shingles. Documents with equal sets are one node. Under any
 order of all shingles, two sets that are similar enough share one in their prefixes, the
-first n - ceil(0.75 n) + 1 shingles. The order used puts shingles known to be in one node
-only first, then those not counted, then those in several nodes, rarest first; a quarter of
-the shingle space is counted, exactly, over all documents. Since a prefix is a quarter
-of a set, documents that are mostly their own have prefixes that meet nothing.
+first n - ceil(0.75 n) + 1 shingles. Rarest first is the order that makes prefixes meet least:
+a prefix is a quarter of a set, so a document that is mostly its own meets nothing.
+
+Counting every shingle of the corpus would move the corpus several times, so rarity comes in
+two steps, each exact for what it claims. A quarter of the shingle space is counted over all
+nodes; the order is then shingles counted once, shingles not counted, shingles counted
+more often. Nodes whose prefix meets no other prefix under this order have no partner and are
+done. Among the nodes left, all shingles are counted, and prefixes are cut by true rarity.
 
 Nodes with the same prefix and size make one group; only groups emit prefix shingles.
 Groups that share one are filtered by size and by what the positions still allow, expanded
@@ -21,7 +25,7 @@ Semantics
 * Words are runs of other than space and U+0009 to U+000D, after lower-casing A-Z. With
   fewer than 5 words the whole sequence is the only shingle; without words, or with a null
   text, the set is empty and linked with nothing.
-* Shingles are compared by 64-bit hashes. Rows that repeat a doc_id count as one document
+* Shingles are compared by 52-bit hashes. Rows that repeat a doc_id count as one document
   with each of their texts. A null doc_id is linked with nothing and its component is null.
 * Other columns are ignored. An empty table gives no rows.
 """
@@ -43,7 +47,10 @@ SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles whose hash is below this have their documents counted.
-COUNTED_BELOW = np.uint64(2**62)
+COUNTED_BELOW = np.uint64(2**50)
+TOKEN_BITS = 52
+#: Rows of a slice, so that row and shingle fit one sortable number.
+SLICE_ROWS = 1 << (64 - TOKEN_BITS)
 #: A shingle with more nodes is joined with itself in blocks of about this size.
 BLOCK = 2000
 
@@ -66,11 +73,11 @@ class _Sets:
                 sums[has] += words.hash[words.first[short][has] + j] * PLACES[j + 8]
             few = mix(sums + n_words[short].astype(np.uint64))
         row, value = np.concatenate([words.row[at], short]), np.concatenate([grams[at], few])
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        self.row, self.hash = row[new], value[new]
+        keys = np.sort(row.astype(np.uint64) << np.uint64(TOKEN_BITS) | value >> np.uint64(64 - TOKEN_BITS))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        keys = keys[new]
+        self.row, self.hash = (keys >> np.uint64(TOKEN_BITS)).astype(np.int64), keys & np.uint64(2**TOKEN_BITS - 1)
         self.first = np.searchsorted(self.row, np.arange(len(offsets)))
 
 
@@ -93,7 +100,7 @@ def _lists(first: np.ndarray, values: np.ndarray) -> pa.ListArray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, digest and counted shingles of every document."""
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch.column(1)):
+        for lo, hi, data, offsets in slices(batch.column(1), rows=SLICE_ROWS):
             s = _Sets(data, offsets)
             d1, d2 = _digests(s.first, s.hash)
             counted = s.hash < COUNTED_BELOW
@@ -110,48 +117,38 @@ def _need(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix digests, and the shingles of the prefix that can be in other nodes, with their places.
+    """(shingle, node) for what of a node's prefix can be in other nodes.
 
     The third and fourth columns list the counted shingles of the node that others have too,
     and in how many nodes they are.
     """
     for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         ends = batch.column(2).offsets.to_numpy()
         known = batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
         times = batch.column(3).values.to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in slices(batch.column(1)):
+        for lo, hi, data, offsets in slices(batch.column(1), rows=SLICE_ROWS):
             s = _Sets(data, offsets)
-            n = np.diff(s.first)
-            with np.errstate(over="ignore"):
-                of_row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(ends[lo : hi + 1]))
-                keys = mix(known[ends[lo] : ends[hi]] + of_row * PLACES[0])
-                own = mix(s.hash + s.row.astype(np.uint64) * PLACES[0])
-            rank = np.where(s.hash < COUNTED_BELOW, 0, 1).astype(np.int64)
+            need = _need(np.diff(s.first))
+            of_row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(ends[lo : hi + 1])) << np.uint64(TOKEN_BITS)
+            keys = known[ends[lo] : ends[hi]] | of_row
+            own = s.row.astype(np.uint64) << np.uint64(TOKEN_BITS) | s.hash
+            rank = np.where(s.hash < COUNTED_BELOW, 0, 1).astype(np.uint64)
             if len(keys):
                 order = np.argsort(keys)
                 keys, counts = keys[order], times[ends[lo] : ends[hi]][order]
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                rank = np.where(keys[at] == own, counts[at], rank)
-            order = np.lexsort((s.hash, rank, s.row))
+                rank = np.where(keys[at] == own, np.minimum(counts[at], 4095).astype(np.uint64), rank)
+            order = np.argsort(s.row.astype(np.uint64) << np.uint64(TOKEN_BITS) | rank << np.uint64(40) | s.hash >> np.uint64(12))
             value, rank = s.hash[order], rank[order]
             place = np.arange(len(value)) - s.first[s.row]
-            inside = place < (n - _need(n) + 1)[s.row]
-            bounds = np.append(0, np.cumsum(inside))[s.first]
-            p1, p2 = _digests(bounds, value[inside])
-            meets = inside & (rank > 0)
-            bounds = np.append(0, np.cumsum(meets))[s.first]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(signed(p1)), pa.array(signed(p2)), _lists(bounds, value[meets]),
-                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place[meets].astype(np.int32))),
-                ],
-                ["node", "n", "p1", "p2", "tokens", "places"],
-            )
+            meets = (place < (np.diff(s.first) - need + 1)[s.row]) & (rank > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(value[meets])), pa.array(ids[lo + s.row[meets]])], ["token", "node"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch.column(1)):
+        for lo, hi, data, offsets in slices(batch.column(1), rows=SLICE_ROWS):
             s = _Sets(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(s.first, s.hash)], ["node", "tokens"])
 
@@ -208,22 +205,50 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
-def _prefix_rows(docs: DataFrame, nodes: DataFrame, leads: DataFrame) -> DataFrame:
-    """Stage two and three: the nodes' prefixes under the counted order."""
+def _suspects(docs: DataFrame, nodes: DataFrame, leads: DataFrame) -> DataFrame:
+    """Step one: ``doc_id`` of the nodes whose prefix under the partly counted order meets another's."""
     tokens = leads.select("node", F.explode("counted").alias("token"))
     several = tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = materialize(
-        tokens.join(several, "token").groupBy("node").agg(F.collect_list(F.struct("token", F.col("times") + 1)).alias("l")).select(
-            "node", F.col("l.token").alias("tokens"), F.col("l.col2").alias("times")
-        ),
-        "shared-shingles",
-    )
+    listed = tokens.join(several, "token").groupBy("node").agg(F.collect_list(F.struct("token", (F.col("times") + 1).alias("times"))).alias("l"))
+    shared = materialize(listed.select("node", F.col("l.token").alias("tokens"), F.col("l.times").alias("times")), "shared-shingles")
     discard(leads)
     none = F.array().cast("array<bigint>")
-    listed = nodes.select("node").distinct().join(shared, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("tokens", none).alias("tokens"), F.coalesce("times", none).alias("times"))
-    schema = "node long, n long, p1 long, p2 long, tokens array<long>, places array<int>"
-    rows = docs.join(listed, "doc_id").select("doc_id", "text", "tokens", "times").mapInArrow(_prefixes, schema).filter("n > 0")
-    return materialize(rows, "prefixes")
+    every = nodes.select("node").distinct().join(shared, "node", "left")
+    every = every.select(F.col("node").alias("doc_id"), F.coalesce("tokens", none).alias("tokens"), F.coalesce("times", none).alias("times"))
+    rows = docs.join(every, "doc_id").select("doc_id", "text", "tokens", "times").mapInArrow(_prefixes, "token long, node long")
+    prefixes = materialize(rows, "prefixes")
+    met = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    found = materialize(prefixes.join(met, "token").select(F.col("node").alias("doc_id")).distinct(), "suspects")
+    discard(shared, prefixes)
+    return found
+
+
+def _meeting(sets: DataFrame) -> DataFrame:
+    """Step two: ``token, node, n, place, n_token`` where prefixes by true rarity meet.
+
+    A node's shingles that no other has come first in its order and need no row. Nodes of the
+    same prefix and size are one group until their groups have met.
+    """
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    times = tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    listed = tokens.join(times, "token").groupBy("node").agg(F.collect_list(F.struct("times", "token")).alias("l"))
+    sized = listed.join(sets.select("node", F.size("tokens").alias("n")), "node")
+    own = F.col("n") - F.size("l")
+    length = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1
+    cut = sized.select("node", "n", own.alias("own"), F.slice(F.array_sort("l"), 1, F.greatest(length - own, F.lit(0)))["token"].alias("prefix")).filter(F.size("prefix") > 0)
+    # Own shingles tell a prefix apart from every other.
+    same = F.xxhash64("n", F.when(F.col("own") > 0, F.col("node")), "prefix")
+    keyed = materialize(cut.select("node", "n", "own", "prefix", same.alias("p1"), F.xxhash64(F.lit(1), same, "prefix").alias("p2")), "prefixes-by-rarity")
+    groups = materialize(keyed.groupBy("n", "p1", "p2").agg(F.min("node").alias("grp"), F.count("*").alias("n_nodes")), "prefix-groups")
+    of_group = materialize(keyed.select("node", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("node", "grp"), "group-nodes")
+    lead = keyed.join(groups.select(F.col("grp").alias("node"), "n_nodes"), "node")
+    rows = lead.select(F.col("node").alias("grp"), "n", "own", "n_nodes", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("grp", "n", "n_nodes", "token", (F.col("own") + F.col("i")).alias("place"))
+    often = rows.groupBy("token").agg(F.sum("n_nodes").alias("n_token")).filter("n_token > 1")
+    found = rows.join(often, "token").join(of_group, "grp").select("token", "node", F.col("n").cast("long").alias("n"), "place", "n_token")
+    found = materialize(found, "meeting-shingles")
+    discard(keyed, groups, of_group)
+    return found
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -236,22 +261,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     )
     members = materialize(described.select("doc_id", "n", "d1", "d2"), "members")
     discard(described)
-    prefixes = _prefix_rows(docs, nodes, leads)
-
-    grouped = prefixes.groupBy("n", "p1", "p2").agg(F.min("node").alias("grp"), F.count("*").alias("n_nodes"))
-    groups = materialize(grouped, "prefix-groups")
-    of_group = prefixes.select("node", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("node", "grp")
-    of_group = materialize(of_group, "group-nodes")
-    lead = prefixes.join(groups.select(F.col("grp").alias("node"), "n", "p1", "p2", "n_nodes"), ["node", "n", "p1", "p2"])
-    tokens = lead.select(F.col("node").alias("grp"), "n", "n_nodes", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select("grp", "n", "n_nodes", F.col("x.tokens").alias("token"), F.col("x.places").alias("place"))
-    often = tokens.groupBy("token").agg(F.sum("n_nodes").alias("n_token")).filter("n_token > 1")
-    meeting = materialize(
-        tokens.join(often, "token").join(of_group, "grp").select("token", "node", "n", "place", "n_token"), "meeting-shingles"
-    )
-    discard(prefixes)
-
-    wanted = meeting.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets, "node long, tokens array<long>").dropDuplicates(["node"]), "whole-sets")
+    suspects = _suspects(docs, nodes, leads)
+    whole = docs.join(suspects, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets, "node long, tokens array<long>")
+    sets = materialize(whole.dropDuplicates(["node"]), "whole-sets")
+    discard(suspects)
+    meeting = _meeting(sets)
 
     # Round one: two heads of each shingle and size band.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).alias("band")

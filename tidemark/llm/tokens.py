@@ -56,14 +56,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = SLICE, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole rows."""
     if not len(column):
         return
     data, at = buffers(column)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(at, at[lo] + limit, "right")) - 1))
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
