@@ -90,3 +90,17 @@ def test_catalog_tables(e):
 
 def test_joins_and_ctes_come_free(e):
     assert rows(e.sql("WITH a AS (SELECT host, MAX(usage) AS m FROM cpu GROUP BY host) SELECT c.usage FROM cpu c JOIN a ON a.host = c.host AND a.m = c.usage ORDER BY 1")) == [(10.0,), (11.0,)]
+
+
+def test_now_and_intervals(e):
+    assert rows(e.sql("SELECT COUNT(*) FROM cpu WHERE time > now() - INTERVAL '5 minutes'")) == [(0,)]
+    assert rows(e.sql("SELECT COUNT(*) FROM cpu WHERE time >= TIMESTAMP_NTZ '2024-01-01 00:10:00' - INTERVAL '2 minutes'")) == [(4,)]
+
+
+def test_total_rows_and_functions(e):
+    from tidemark.model import QueryBuilder
+
+    assert e.total_rows(QueryBuilder("cpu").where_eq("host", "s1").limit(2).build()) == 6
+    assert e.total_rows({"measurement": "cpu", "limit": 1}) == 12
+    e.define("half", "x DOUBLE", "x / 2")
+    assert rows(e.sql("SELECT MAX(half(usage)) FROM cpu")) == [(5.5,)]

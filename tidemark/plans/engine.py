@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,15 @@ class Engine:
         m, df = self.catalog.get(q.measurement)
         return compile_query(q, m, df)
 
+    def total_rows(self, request: Query | dict) -> int:
+        """Rows of the query without its LIMIT and OFFSET; counted only when asked for."""
+        q = request if isinstance(request, Query) else query_from_request(request)
+        return self.query(replace(q, limit=None, offset=0, order_by=())).count()
+
+    def define(self, name: str, parameters: str, body: str, returns: str = "DOUBLE") -> None:
+        """A SQL function for queries, which Catalyst inlines: ``define("ratio", "a DOUBLE, b DOUBLE", "a / nullif(b, 0)")``."""
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
+
     def sql(self, text: str) -> DataFrame:
         """One statement: SELECT, SHOW TABLES, SHOW <setting>, SET, EXPLAIN SELECT."""
         words = [t for t in one_statement(text) if t.kind != "space"]

@@ -48,3 +48,40 @@ def network_health(spark: SparkSession, devices: int = 100, steps: int = 100, in
         F.round(3 * F.pow(noise("loss"), F.lit(4.0)), 3).alias("packet_loss_pct"), F.when(kind == "wifi", (-90 + 60 * noise("signal")).cast("bigint")).alias("wifi_signal_dbm"),
     )
     return Measurement("network_health", "time", ("device_id", "connection_type"), ("latency_ms", "packet_loss_pct", "wifi_signal_dbm")), rows
+
+
+APPS = ("mail", "browser", "editor", "chat", "calendar")
+SITES = ("north", "south", "east", "west")
+
+
+def app_performance(spark: SparkSession, devices: int = 100, steps: int = 100, interval_s: int = 60, end: datetime = datetime(2025, 12, 24, 8, 13, 48)) -> tuple[Measurement, DataFrame]:
+    """One row per device, step and application; crashes are rare."""
+    g = _grid(spark, devices, steps, interval_s, end).select("*", F.explode(F.array(*map(F.lit, APPS))).alias("application_name"))
+    noise = lambda salt: _unit(salt, F.col("device"), F.col("step"), F.col("application_name"))
+    rows = g.select(
+        "time", F.format_string("dev-%05d", "device").alias("device_id"), "application_name", F.round(-200 * F.log(1 - noise("response")), 1).alias("response_time_ms"),
+        F.round(100 - 5 * F.pow(noise("available"), F.lit(8.0)), 2).alias("availability_pct"), F.floor(3 * F.pow(noise("errors"), F.lit(6.0)) + 0.1).alias("error_count"),
+        F.when(noise("crash") < 0.005, 1).otherwise(0).cast("bigint").alias("crash_count"),
+    )
+    return Measurement("app_performance", "time", ("device_id", "application_name"), ("response_time_ms", "availability_pct", "error_count", "crash_count")), rows
+
+
+def experience_score(spark: SparkSession, devices: int = 100, steps: int = 100, interval_s: int = 300, end: datetime = datetime(2025, 12, 24, 8, 13, 48)) -> tuple[Measurement, DataFrame]:
+    g = _grid(spark, devices, steps, interval_s, end)
+    score = lambda salt: F.round(100 - 60 * F.pow(_unit(salt, F.col("device"), F.col("step")), F.lit(3.0)), 1)
+    site = F.element_at(F.array(*map(F.lit, SITES)), (F.pmod("device", F.lit(len(SITES))) + 1).cast("int"))
+    rows = g.select("time", F.format_string("dev-%05d", "device").alias("device_id"), site.alias("location"), score("device").alias("device_score"), score("app").alias("app_score"), score("network").alias("network_score"))
+    rows = rows.withColumn("overall_score", F.round((F.col("device_score") + F.col("app_score") + F.col("network_score")) / 3, 2))
+    return Measurement("experience_score", "time", ("device_id", "location"), ("overall_score", "device_score", "app_score", "network_score")), rows
+
+
+def battery(spark: SparkSession, devices: int = 100, steps: int = 100, interval_s: int = 300, end: datetime = datetime(2025, 12, 24, 8, 13, 48)) -> tuple[Measurement, DataFrame]:
+    """Charge falls over the day and comes back; only every third device has a battery."""
+    g = _grid(spark, devices, steps, interval_s, end).filter(F.pmod("device", F.lit(3)) == 1)
+    noise = _unit("battery", F.col("device"), F.col("step"))
+    charge = F.round(100 - 100 * F.pmod((F.col("step") * interval_s + F.col("device") * 977).cast("double"), F.lit(36_000.0)) / 36_000, 1)
+    rows = g.select(
+        "time", F.md5(F.col("device").cast("string")).alias("devicesysid_k"), F.lit("0").alias("batteryid_k"), charge.alias("charge_level"), F.round(25 + 15 * noise, 1).alias("temperature"),
+        (F.lit(100) + F.expr("step DIV 100")).alias("cycle_count"),
+    )
+    return Measurement("em_device_metrics_battery", "time", ("devicesysid_k", "batteryid_k"), ("charge_level", "temperature", "cycle_count")), rows
