@@ -51,8 +51,10 @@ COUNTED_BELOW = np.uint64(2**50)
 TOKEN_BITS = 52
 #: Rows of a slice, so that row and shingle fit one sortable number.
 SLICE_ROWS = 1 << (64 - TOKEN_BITS)
+#: Bits of a parity sketch.
+SKETCH = 1024
 #: A shingle with more nodes is joined with itself in blocks of about this size.
-BLOCK = 2000
+BLOCK = 500
 
 
 class _Sets:
@@ -147,10 +149,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets, each with its parity sketch: SKETCH bits, each the parity of the shingles dealt to it.
+
+    The bits in which two sketches differ are at most as many as the shingles in which the sets do.
+    """
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(1), rows=SLICE_ROWS):
             s = _Sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(s.first, s.hash)], ["node", "tokens"])
+            bit = mix(s.hash) & np.uint64(SKETCH - 1)
+            parity = np.zeros((hi - lo, SKETCH), np.uint8)
+            np.add.at(parity, (s.row, bit.astype(np.int64)), 1)  # modulo 256, which keeps the parity
+            packed = np.packbits(parity & 1, axis=1)
+            width = SKETCH // 8
+            sketches = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(0, (hi - lo + 1) * width, width, dtype=np.int32)), pa.py_buffer(packed.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(s.first, s.hash), sketches], ["node", "tokens", "sketch"])
 
 
 def _may_link(n1, place1, n2, place2):
@@ -168,12 +180,22 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(DENOMINATOR * F.col("shared") >= NUMERATOR * union).select("a", "b")
 
 
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    width = SKETCH // 8
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[column.offset * width : (column.offset + len(column)) * width].view(np.uint64).reshape(-1, width // 8)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes in different components within runs of one (token, side, side) that pass the bounds."""
+    """Pairs of nodes in different components within runs of one (token, side, side) that pass the bounds.
+
+    The bounds are of size and position, and of the parity sketches: sets that are similar
+    enough differ in at most so many shingles. They never drop a link.
+    """
     held: list[np.ndarray] | None = None
 
     def pairs(run: list[np.ndarray]) -> pa.RecordBatch:
-        _, one, two, block, node, n, place, component = run
+        _, one, two, block, node, n, place, component, sketch = run
         a_at = np.flatnonzero(block == one)
         b_at = np.flatnonzero(block == two)
         out_a, out_b = [], []
@@ -182,7 +204,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = np.minimum(n[i] - place[i], n[j] - place[j])
             good = (component[i] != component[j]) & (rest * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n[i] + n[j]))
             x, y = np.nonzero(good)
-            a, b = node[a_at[k + x]], node[b_at[y]]
+            x, y = a_at[k + x], b_at[y]
+            both = n[x] + n[y]
+            shared = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1) <= both - 2 * shared
+            a, b = node[x[near]], node[y[near]]
             out_a.append(np.maximum(a, b))
             out_b.append(np.minimum(a, b))
         a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
@@ -190,7 +216,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]]
+        columns.append(_sketch_rows(batch.column(8)))
         if held is not None:
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         key = np.stack(columns[:3])
@@ -208,18 +235,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _suspects(docs: DataFrame, nodes: DataFrame, leads: DataFrame) -> DataFrame:
     """Step one: ``doc_id`` of the nodes whose prefix under the partly counted order meets another's."""
     tokens = leads.select("node", F.explode("counted").alias("token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    several = materialize(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"), "counted-shingles")
     listed = tokens.join(several, "token").groupBy("node").agg(F.collect_list(F.struct("token", (F.col("times") + 1).alias("times"))).alias("l"))
     shared = materialize(listed.select("node", F.col("l.token").alias("tokens"), F.col("l.times").alias("times")), "shared-shingles")
-    discard(leads)
+    discard(leads, several)
     none = F.array().cast("array<bigint>")
     every = nodes.select("node").distinct().join(shared, "node", "left")
     every = every.select(F.col("node").alias("doc_id"), F.coalesce("tokens", none).alias("tokens"), F.coalesce("times", none).alias("times"))
     rows = docs.join(every, "doc_id").select("doc_id", "text", "tokens", "times").mapInArrow(_prefixes, "token long, node long")
     prefixes = materialize(rows, "prefixes")
-    met = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    met = materialize(prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "met-shingles")
     found = materialize(prefixes.join(met, "token").select(F.col("node").alias("doc_id")).distinct(), "suspects")
-    discard(shared, prefixes)
+    discard(shared, prefixes, met)
     return found
 
 
@@ -230,7 +257,7 @@ def _meeting(sets: DataFrame) -> DataFrame:
     same prefix and size are one group until their groups have met.
     """
     tokens = sets.select("node", F.explode("tokens").alias("token"))
-    times = tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    times = materialize(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"), "counted-shingles")
     listed = tokens.join(times, "token").groupBy("node").agg(F.collect_list(F.struct("times", "token")).alias("l"))
     sized = listed.join(sets.select("node", F.size("tokens").alias("n")), "node")
     own = F.col("n") - F.size("l")
@@ -244,10 +271,10 @@ def _meeting(sets: DataFrame) -> DataFrame:
     lead = keyed.join(groups.select(F.col("grp").alias("node"), "n_nodes"), "node")
     rows = lead.select(F.col("node").alias("grp"), "n", "own", "n_nodes", F.posexplode("prefix").alias("i", "token"))
     rows = rows.select("grp", "n", "n_nodes", "token", (F.col("own") + F.col("i")).alias("place"))
-    often = rows.groupBy("token").agg(F.sum("n_nodes").alias("n_token")).filter("n_token > 1")
+    often = materialize(rows.groupBy("token").agg(F.sum("n_nodes").alias("n_token")).filter("n_token > 1"), "often-shingles")
     found = rows.join(often, "token").join(of_group, "grp").select("token", "node", F.col("n").cast("long").alias("n"), "place", "n_token")
     found = materialize(found, "meeting-shingles")
-    discard(keyed, groups, of_group)
+    discard(keyed, groups, of_group, times, often)
     return found
 
 
@@ -262,18 +289,20 @@ def similar_components(docs: DataFrame) -> DataFrame:
     members = materialize(described.select("doc_id", "n", "d1", "d2"), "members")
     discard(described)
     suspects = _suspects(docs, nodes, leads)
-    whole = docs.join(suspects, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets, "node long, tokens array<long>")
+    whole = docs.join(suspects, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets, "node long, tokens array<long>, sketch binary")
     sets = materialize(whole.dropDuplicates(["node"]), "whole-sets")
     discard(suspects)
     meeting = _meeting(sets)
 
-    # Round one: two heads of each shingle and size band.
+    # Round one: two heads of each shingle and size band. Where a shared shingle comes early in a
+    # node's order, little of the node is its own: the earliest is the most central one.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).alias("band")
     banded = meeting.select("token", "node", "n", "place", band)
     heads = banded.groupBy("token", "band").agg(
-        F.min(F.struct("node", "n", "place")).alias("low"), F.max(F.struct("node", "n", "place")).alias("high"), F.count("*").alias("k")
+        F.min_by(F.struct("node", "n", "place"), F.struct("place", "node")).alias("central"), F.min(F.struct("node", "n", "place")).alias("low"), F.count("*").alias("k")
     ).filter("k > 1")
-    headed = banded.join(heads, ["token", "band"]).select("node", "n", "place", F.explode(F.array("low", "high")).alias("h"))
+    heads = materialize(heads, "heads")
+    headed = banded.join(heads, ["token", "band"]).select("node", "n", "place", F.explode(F.array("central", "low")).alias("h"))
     first = headed.filter(F.col("node") != F.col("h.node")).filter(_may_link(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place")))
     first = first.select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct()
     links = materialize(_verify(first, sets), "links-one")
@@ -285,8 +314,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     split = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("token")
     parts = F.ceil(F.col("n_token") / F.lit(BLOCK)).cast("int")
     rows = labelled.join(split, "token").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "n", F.col("place").cast("long").alias("place"), "component")
+    rows = rows.join(sets.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "n", F.col("place").cast("long").alias("place"), "component", "sketch")
     dealt = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
     second = dealt.mapInArrow(_across, "a long, b long").distinct()
     more = materialize(_verify(second, sets), "links-two")
