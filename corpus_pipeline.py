@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns documents; all but the last keep the
 columns of ``documents``. Between stages the rows are a Parquet table.
+
+Decisions go by ``doc_id``: rows that repeat one share its decision, and rows without one pass
+the three stages that drop by id. Null or empty texts have no letters, so the first stage drops
+them. Other columns than those of ``documents`` are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing
+from tidemark.llm.queries import importable
 from tidemark.llm.work import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -61,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -13,7 +13,7 @@ Semantics
 * ``rate_scale`` multiplies all rates (1.0: the output has, in expectation, as many
   documents as the input).
 * Rates above ``MAX_MEAN`` are drawn as a sum of independent Poisson variables, so no rate
-  is capped. Rows repeating a doc_id draw the same K. An empty table gives no rows.
+  is capped; a null id draws as the empty id. Rows repeating a doc_id draw the same K. An empty table gives no rows.
   All columns of the input stay; ``copy_no`` and ``order_key`` are added (a column of the
   input with such a name is replaced).
 """
@@ -92,15 +92,16 @@ def mix(
     rates = source_rates(docs, weights, temperature, rate_scale, source_col)
     n_sources = rates.count()
     rates = F.broadcast(rates) if n_sources <= BROADCAST_SOURCES else rates
-    left = docs.select(*columns)
-    joined = left.join(rates, left[source_col].eqNullSafe(rates["mix_source"]))
-    copies = joined.withColumn("mix_n", replication(F.col("mix_rate"), F.col(id_col))).filter("mix_n > 0")
-    rows = copies.select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy_no"))
-    keyed = rows.withColumn("order_key", unit_hash(F.lit(SEED + "-order"), F.col(id_col), F.col("copy_no")))
+    # The row travels as one struct, so that none of its names can clash with those used here.
+    left = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs[source_col].alias("source"), docs[id_col].alias("key"))
+    joined = left.join(rates, left["source"].eqNullSafe(rates["mix_source"]))
+    copies = joined.select("doc", "key", replication(F.col("mix_rate"), F.col("key")).alias("copies")).filter("copies > 0")
+    rows = copies.select("doc", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    keyed = rows.withColumn("order_key", unit_hash(F.lit(SEED + "-order"), F.col("key"), F.col("copy_no")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The key is uniform by construction, so its ranges are known without sampling the data.
     dealt = keyed.repartitionById(n, F.floor(F.col("order_key") * n).cast("int"))
-    return dealt.sortWithinPartitions("order_key", id_col, "copy_no")
+    return dealt.sortWithinPartitions("order_key", "key", "copy_no").select("doc.*", "copy_no", "order_key")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

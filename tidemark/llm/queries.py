@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op9_html_text
@@ -13,7 +19,26 @@ from .secrets import op7_secrets
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 
-QUERIES = {
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, if it isn't installed."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
@@ -26,6 +51,8 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+QUERIES = {name: _ready(query) for name, query in _ALL.items()}
+
 ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
