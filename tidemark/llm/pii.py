@@ -9,8 +9,8 @@ phone number found elsewhere becomes a phone number too. Base mentions are obser
 
 Semantics
 * Offsets are code points, ends exclusive. A null text is the empty text. Whole texts are
-  read; skip edges join each mention to the one before with its key, so their number is
-  linear in the text.
+  read; skip edges join each mention to the one before with its key and to the last observed
+  one, so their number is linear in the text.
 * Base spans always stay; added ones never overlap a base span or each other.
 * Rows repeat as they are; columns other than the id and the text are ignored; an empty
   table gives no rows.
@@ -204,18 +204,20 @@ CHAIN, SAME, SIMILAR = 0, 1, 2
 
 
 def edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
-    """Chain edges between neighbours, skip edges to the last mention with the same key."""
-    out, last = [], {}
+    """Chain edges between neighbours, skip edges to the last mention with the same key and to the last observed one."""
+    out, last, observed = [], {}, {}
     for i, n in enumerate(nodes):
         if i and n.start - nodes[i - 1].end <= NEAR:
             out.append((i - 1, i, CHAIN))
         linked = set()
         for key in n.keys:
-            j = last.get(key)
-            if j is not None and j not in linked:
-                linked.add(j)
-                out.append((j, i, SIMILAR if key[0] == "tail" else SAME))
+            for j in (last.get(key), observed.get(key)):
+                if j is not None and j not in linked:
+                    linked.add(j)
+                    out.append((j, i, SIMILAR if key[0] == "tail" else SAME))
             last[key] = i
+            if n.label is not None:
+                observed[key] = i
     return out
 
 
