@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 64
-SAMPLE_LEAST, SAMPLE_MOST = 400, 65_536
+SAMPLE_LEAST, SAMPLE_MOST = 400, 16_384
 DICT_BYTES = 112 * 1024
 MAX_LANGS = 256
 #: A lazy parse with 3-byte matches: the short suffixes and function words of a language count.
 PARAMETERS = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 5, "min_match": 3, "strategy": 5}
 BLOCK = 4096
+#: Texts up to SHORT bytes are encoded behind the last TAIL bytes of the dictionary, whose own
+#: size is taken off: alone they are too short for the coder to leave its raw mode.
+SHORT, TAIL = 256, 300
 #: Rejected where the best total is less than this many bits under the next, that is, on equal bytes.
 MIN_BITS = 4.0
 #: Of the logistic curve that turns the margin in bits into a score.
@@ -90,14 +93,18 @@ class Classifier:
 
         self.langs = list(dictionaries)
         self.coders = []
+        self.tails = [content[-TAIL:] for content in dictionaries.values()]
         for content in dictionaries.values():
             how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **PARAMETERS)
             prepared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             prepared.precompute_compress(compression_params=how)
             self.coders.append(zstandard.ZstdCompressor(compression_params=how, dict_data=prepared))
+        self.alone = [len(c.compress(t)) for c, t in zip(self.coders, self.tails, strict=True)]
 
     def sizes(self, data: bytes) -> list[int]:
         """Bytes the text takes with each dictionary, over all its blocks."""
+        if len(data) <= SHORT:
+            return [len(c.compress(t + b" " + data)) - a for c, t, a in zip(self.coders, self.tails, self.alone, strict=True)]
         if len(data) <= BLOCK:
             return [len(c.compress(data)) for c in self.coders]
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
