@@ -10,8 +10,8 @@ how far the match goes on either side. Adjacent repeats unite to maximal ones, w
 at least ``WINDOW`` words long by construction.
 
 A seed's documents are never paired: per anchor, block and window only the smallest doc_id
-is kept, by aggregations that combine before the shuffle, and joined back (joins that
-adaptive execution can split). So a passage in a third of all documents costs linear work.
+is kept, by aggregations that combine before the shuffle, and joined back. The kept rows are
+tables by then, so that adaptive execution can split a hot key of the large side. So a passage in a third of all documents costs linear work.
 
 Semantics
 * Words are runs of other than space and U+0009 to U+000D, unchanged. A null or empty text
@@ -108,22 +108,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     seeds = materialize(docs.mapInArrow(_seeds(window, gram), "anchor long, doc_id long"), "seeds")
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    shared = materialize(shared, "shared-anchors")
     of_doc = materialize(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "document-seeds")
-    discard(seeds)
+    discard(seeds, shared)
     blocks = materialize(
         docs.join(of_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_blocks(window, gram), "anchor long, block long, doc_id long, start int, windows array<long>"),
         "seed-blocks",
     )
     discard(of_doc)
     first = materialize(blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_doc")), "first-blocks")
-    mixed = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    known = materialize(
-        blocks.join(first.join(mixed.withColumn("mixed", F.lit(True)), "anchor", "left"), ["anchor", "block"]).filter("first_doc < doc_id or mixed"), "known-blocks"
-    )
-    discard(blocks, first)
+    mixed = materialize(first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("mixed")), "mixed-anchors")
+    marked = materialize(first.join(mixed, "anchor", "left"), "marked-blocks")
+    known = materialize(blocks.join(marked, ["anchor", "block"]).filter("first_doc < doc_id or mixed"), "known-blocks")
+    discard(blocks, first, mixed, marked)
     whole = known.filter("first_doc < doc_id").select("doc_id", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
     ends = known.filter("first_doc = doc_id").select("anchor", "doc_id", "start", F.posexplode("windows").alias("i", "w"))
     earliest = ends.groupBy("anchor", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "w", "lo")
+    earliest = materialize(earliest, "earliest-windows")
     part = ends.join(earliest, ["anchor", "w"]).filter("lo < doc_id").select("doc_id", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + window).alias("end"))
     return whole.unionByName(part)
 
