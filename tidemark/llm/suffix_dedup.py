@@ -353,14 +353,14 @@ def repeats(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     texts = keyed.select("id", "sum", "text")
     seeds = materialize(texts.mapInArrow(_seeds, "gram long, id long, sum long, place long"), "suffix-seeds")
-    several = seeds.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    several = materialize(seeds.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-grams")
     marked = seeds.join(several, "gram")
     each = F.struct("gram", "place")
     listed = marked.groupBy("id", "sum").agg(
         F.collect_set(F.when(F.col("n") <= HOT, each)).alias("seeds"), F.collect_set(F.when(F.col("n") > HOT, F.col("place"))).alias("hot")
     )
     listed = materialize(listed, "document-suffixes")
-    discard(seeds)
+    discard(seeds, several)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorting = texts.join(listed.filter(F.size("seeds") > 0), ["id", "sum"]).select("id", "sum", "text", "seeds")
     runs = sorting.mapInArrow(_runs(buckets), "bucket int, run binary")
@@ -369,7 +369,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
     hot = listed.filter(F.size("hot") > 0).select("id", "sum", "hot")
     if not hot.isEmpty():
         windows = materialize(texts.join(hot, ["id", "sum"]).select("id", "sum", "text", "hot").mapInArrow(_digests, "d1 long, d2 long, id long, sum long, start long"), "hot-windows")
-        twice = windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1")
+        twice = materialize(windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-windows")
         more = windows.join(twice, ["d1", "d2"]).select("id", "sum", "start", (F.col("start") + LENGTH).alias("end"))
         found = found.unionByName(more)
     return found
