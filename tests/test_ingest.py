@@ -42,7 +42,7 @@ def test_escapes(spark):
     assert (r["measurement"], r["tags"], sorted(r["fields"])) == ("my m,x", {"host": "server 01", "a=b": "c,d"}, ["f 1", "g"])
 
 
-@pytest.mark.parametrize("line", ["cpu", "cpu,host=a", ",host=a v=1", "cpu v=abc", "cpu v=1 soon", "cpu,host v=1", "cpu v=1 1 2", "cpu v=", "cpu =1", "cpu v=99999999999999999999i", "cpu,host= v=1"])
+@pytest.mark.parametrize("line", ["cpu", "cpu,host=a", ",host=a v=1", "cpu v=abc", "cpu v=1 soon", "cpu,host v=1", "cpu v=1 1 2", "cpu v=", "cpu =1", "cpu v=99999999999999999999i", "cpu,host= v=1", "cpu,a=1,a=2 v=1", "cpu v=1,v=2"])
 def test_errors(spark, line):
     assert one(spark, line)["error"] is not None
 

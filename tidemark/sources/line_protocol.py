@@ -4,7 +4,7 @@ r"""Line protocol to rows and back, in column expressions.
 starting with # are skipped. Bad lines are kept with an error, good ones go on.
 
 Escapes are ``\n \r \t \\ \" \, \= \ `` and are honoured everywhere, in measurement and tags too.
-A line without timestamp takes ``now``.
+A line without timestamp takes ``now``. A tag or field named twice is an error.
 """
 
 from __future__ import annotations
@@ -71,15 +71,17 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     spelled = F.array_join(F.zip_with("names", "texts", lambda a, b: F.concat(a, F.lit("="), b)), ",")
     bad_tag = F.exists("pairs", lambda p: (F.size(p) < 2) | (F.get(p, 0) == "") | (F.get(p, 1) == ""))
     stamped = F.col("stamp") != ""
+    tag_names, field_names = F.transform("pairs", lambda p: unescape(F.get(p, 0))), F.transform("names", unescape)
+    repeated = lambda names: F.size(F.array_distinct(names)) < F.size(names)
     error = (
-        F.when(F.size("keys") == 0, "no measurement").when(F.get("keys", 0) == "", "empty measurement").when(bad_tag, "invalid tag").when(F.col("body") == "", "no fields")
-        .when(spelled != F.col("body"), "invalid field").when(F.exists("typed", lambda v: v["kind"].isNull()), "invalid value")
+        F.when(F.size("keys") == 0, "no measurement").when(F.get("keys", 0) == "", "empty measurement").when(bad_tag, "invalid tag").when(repeated(tag_names), "repeated tag").when(F.col("body") == "", "no fields")
+        .when(spelled != F.col("body"), "invalid field").when(repeated(field_names), "repeated field").when(F.exists("typed", lambda v: v["kind"].isNull()), "invalid value")
         .when(stamped & F.col("stamp").try_cast("bigint").isNull(), "invalid timestamp").when(F.col("rest") != "", "more than three parts")
     )
     now = F.unix_micros(F.current_timestamp()) * 1000
     good = lambda c: F.when(F.col("error").isNull(), c)
-    tag_map = F.map_from_entries(F.array_distinct(F.transform("pairs", lambda p: F.struct(unescape(F.get(p, 0)), unescape(F.get(p, 1))))))
-    field_map = F.map_from_arrays(F.transform("names", unescape), "typed")
+    tag_map = F.map_from_entries(F.transform("pairs", lambda p: F.struct(unescape(F.get(p, 0)), unescape(F.get(p, 1)))))
+    field_map = F.map_from_arrays(field_names, "typed")
     return rows.withColumn("error", error).select(
         "line", good(unescape(F.get("keys", 0))).alias("measurement"), good(F.when(stamped, F.col("stamp").try_cast("bigint")).otherwise(now)).alias("time_ns"),
         good(tag_map).alias("tags"), good(field_map).alias("fields"), "error",
