@@ -267,3 +267,13 @@ def test_mix_weights(spark):
 def test_high_rates_are_not_capped(spark):
     one = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
     assert abs(mixing.mix(one, {"a": 1}, rate_scale=1000.0).count() - 2000) < 250
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 128)
+    rows = brute.corpus(4, 40)
+    items = [(i, t) for i, t in brute.corpus(4, 30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert contaminated(frame(spark, rows), bench) == sorted(brute.contamination(rows, items), key=repr)
+    assert decontaminate._bits_for(10) == 128

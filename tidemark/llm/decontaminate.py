@@ -6,7 +6,7 @@ document, the one rarest in the documents is a sufficient prefix. Documents are
 windows on that shingle alone, the position it would give the window must lie within the
 document, and the words there are compared exactly.
 
-The documents are read once. A bitmap of the items' shingles, of fixed size, thins out
+The documents are read once. A bitmap of the items' shingles, of bounded size, thins out
 document positions before anything is shuffled; what passes carries the words around it,
 so no later stage needs the texts. The bitmap only saves work: matches are decided by the
 joins and the exact comparison behind it.
@@ -30,8 +30,8 @@ WINDOW = 13
 SHINGLE = 5
 #: Contaminated: at least 1 in so many words is hit.
 SHARE = 20
-#: Bits of the bitmap: 65,536 longs, 512 KB, whatever the size of the benchmark.
-BITMAP_BITS = 1 << 22
+#: Bits of the bitmap: 32 for each of the items' shingles, between 512 KB and 16 MB in all.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 22, 1 << 27
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,19 +62,26 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return windows, keyed.select("wkey", "item_id").filter(F.col("item_id").isNotNull()).distinct()
 
 
-def _bitmap(hashes: DataFrame) -> DataFrame:
-    """One row, one array of BITMAP_BITS / 64 longs."""
-    bit = F.pmod(F.col("h"), F.lit(BITMAP_BITS))
+def _bits_for(n: int) -> int:
+    bits = LEAST_BITS
+    while bits < min(BITS_EACH * n, MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def _bitmap(hashes: DataFrame, size: int) -> DataFrame:
+    """One row, one array of ``size`` / 64 longs."""
+    bit = F.pmod(F.col("h"), F.lit(size))
     cells = hashes.select(F.shiftright(bit, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("m"))
     masks = cells.groupBy("cell").agg(F.bit_or("m").alias("m"))
     spark = hashes.sparkSession
-    every = spark.range(0, BITMAP_BITS // 64, 1, 1).withColumnRenamed("id", "cell").join(masks, "cell", "left")
+    every = spark.range(0, size // 64, 1, 1).withColumnRenamed("id", "cell").join(masks, "cell", "left")
     listed = every.agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("m", F.lit(0)).alias("m")))).alias("a"))
     return listed.select(F.transform("a", lambda x: x["m"]).alias("bits"))
 
 
-def _maybe(bits: Column, h: Column) -> Column:
-    bit = F.pmod(h, F.lit(BITMAP_BITS))
+def _maybe(bits: Column, h: Column, size: int) -> Column:
+    bit = F.pmod(h, F.lit(size))
     return F.getbit(F.element_at(bits, (F.shiftright(bit, 6) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
 
 
@@ -86,13 +93,13 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shing
         shingles.select("wkey", "words", "wlen", "s", "off", F.xxhash64("s", F.slice("words", F.col("off"), F.col("s"))).alias("h")), "item-shingles"
     )
     sizes = [r["s"] for r in shingles.select("s").distinct().collect()]  # at most SHINGLE of them
-    reach = window - 1
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("w"), _bitmap(shingles.select("h").distinct()).scalar().alias("bits"))
+    reach, bits = window - 1, _bits_for(shingles.count())
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("w"), _bitmap(shingles.select("h").distinct(), bits).scalar().alias("bits"))
     rows = rows.withColumn("n_words", F.size("w"))
     hash_at = lambda i, size: F.xxhash64(F.lit(size), F.slice(F.col("w"), i, size))
 
     def hits(size: int) -> Column:
-        found = F.filter(_starts(F.col("n_words"), size), lambda i: _maybe(F.col("bits"), hash_at(i, size)))
+        found = F.filter(_starts(F.col("n_words"), size), lambda i: _maybe(F.col("bits"), hash_at(i, size), bits))
         return F.transform(
             found,
             lambda i: F.struct(
