@@ -33,9 +33,9 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, measurements: tuple[Measurement, ...] = (EVENTS, ORDERS, LINES)) -> Engine:
     e = Engine(spark)
-    for m in (EVENTS, ORDERS, LINES):
+    for m in measurements:
         e.register(m, spark.read.parquet(f"{sf_dir}/{m.name}.parquet"))
     return e
 
@@ -45,7 +45,9 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def _add(name: str, sql: str | None, build: Callable[[Engine], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(engine(spark, sf_dir))
+    # Only the tables that the query names are opened.
+    needed = tuple(m for m in (EVENTS, ORDERS, LINES) if m.name in (sql or EVENTS.name))
+    QUERIES[name] = lambda spark, sf_dir: build(engine(spark, sf_dir, needed))
     if sql:
         ORACLE_SQL[name] = sql
 
@@ -108,7 +110,7 @@ for _name, _function, _field, _sql, _digits in _AGGREGATES:
     )
 _built("group_by_two_tags", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 8) AS q FROM lineitem GROUP BY 1, 2", QueryBuilder("lineitem").count("*", "n").mean("l_quantity", "q").group_by("l_returnflag", "l_linestatus"), 8, "q")
 ORACLE_SQL["multi_agg_group"] = f"SELECT event_type, count(*) AS n, round(sum(value), 6) AS s, round(avg(value), 8) AS a, min(value) AS lo, max(value) AS hi, round({_STD}, 6) AS sd FROM events GROUP BY 1"
-QUERIES["multi_agg_group"] = lambda spark, sf_dir: _rounded(_rounded(engine(spark, sf_dir).query(
+QUERIES["multi_agg_group"] = lambda spark, sf_dir: _rounded(_rounded(engine(spark, sf_dir, (EVENTS,)).query(
     events().count("*", "n").aggregate("sum", "value", "s").mean("value", "a").aggregate("min", "value", "lo").aggregate("max", "value", "hi").aggregate("stddev", "value", "sd").group_by("event_type").build()
 ), 6, "s", "sd"), 8, "a")
 _SQLS = {
@@ -178,7 +180,7 @@ ORACLE_SQL["window_stddev"] += f" WINDOW w AS ({_OVER} ROWS 2 PRECEDING)"
 
 
 def _rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = engine(spark, sf_dir).catalog.get("events")[1].withColumn("floor_value", F.floor("value"))
+    df = engine(spark, sf_dir, (EVENTS,)).catalog.get("events")[1].withColumn("floor_value", F.floor("value"))
     return apply_window(df, WindowCall("rank", partition_by=_TYPE, order_by=(("floor_value", True),), alias="v")).select("event_id", "v")
 
 
