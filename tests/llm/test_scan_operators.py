@@ -198,6 +198,24 @@ def test_language_never_sees_held_out_rows(spark):
     assert language_id.fit(changed) == language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
+def test_language_of_long_documents(spark):
+    """Languages are learned whose labelled documents are all over SAMPLE_MOST bytes, or have no id."""
+    short = [(i, text, lang) for i, text, lang in language_rows() if lang == "en"]
+    long = [(1000 + i, " ".join(t for _, t, x in language_rows() if x == lang) * 2, lang) for i, lang in enumerate(("de", "fr") * 8)]
+    assert all(len(t.encode()) > language_id.SAMPLE_MOST for _, t, _ in long)
+    schema = "doc_id long, text string, lang string"
+    probe = frame(spark, [(1, "der die und das ist nicht mit"), (2, "le la les des et est une dans")])
+    for rows, langs in ((long, {"de", "fr"}), (short + long, {"en", "de", "fr"}), ([(None, t, x) for _, t, x in long], {"de", "fr"})):
+        dictionaries = language_id.fit(spark.createDataFrame(rows, schema))
+        assert set(dictionaries) == langs and max(map(len, dictionaries.values())) <= language_id.DICT_BYTES + language_id.SAMPLE_DOCS
+        assert {r["doc_id"]: r["lang_pred"] for r in language_id.classify(probe, dictionaries).collect()} == {1: "de", 2: "fr"}
+
+
+def test_language_learns_every_label(spark):
+    rows = [(i, f"word{i % 300} " * 5, f"l{i % 300:03}") for i in range(3000)]
+    assert len(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 300
+
+
 def test_language_odd_rows(spark):
     dictionaries = language_id.fit(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
     rows = [(1, None), (2, ""), (3, "123 ... !!"), (4, "der die und das " * 30_000), (4, "der die und das " * 30_000), (None, "THE OF AND TO IN IS")]

@@ -7,9 +7,9 @@ total wins, and the decision is rejected when the runner-up is too close.
 Semantics
 * Learns from rows with a text, a non-null ``lang`` and ``crc32(doc_id as text) % 4 != 2``
   only. The sample is, per language, the ``SAMPLE_DOCS`` documents smallest by a hash of
-  the id among those of ``SAMPLE_LEAST`` to ``SAMPLE_MOST`` bytes (shorter ones serve where a
-  language has no others), distinct texts, up to ``DICT_BYTES`` of whole documents.
-  The ``MAX_LANGS`` most frequent languages are learned.
+  the id among those of ``SAMPLE_LEAST`` to ``SAMPLE_MOST`` bytes. Where a language has fewer,
+  longer ones fill its sample, each with ``PIECE`` characters from its middle, and then shorter
+  ones. Distinct texts, up to ``DICT_BYTES``. Every language with a labelled text is learned.
 * A null text, or one without any letter, is ``und`` with score 0 and rejected. An empty
   training set makes every text ``und``. Equal sizes go to the language with more training
   rows, and are rejected.
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 64
 SAMPLE_LEAST, SAMPLE_MOST = 400, 16_384
 DICT_BYTES = 112 * 1024
-MAX_LANGS = 256
+#: Characters taken of a longer document: at four bytes each they are SAMPLE_MOST.
+PIECE = SAMPLE_MOST // 4
 #: A lazy parse with 3-byte matches: the short suffixes and function words of a language count.
 PARAMETERS = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 5, "min_match": 3, "strategy": 5}
 BLOCK = 4096
@@ -55,23 +56,26 @@ def held_out(doc_id):
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary content, most frequent first, from a sample bounded by the parameters above."""
     rows = training_rows(docs.select("doc_id", "text", "lang"))
-    sized = rows.select("doc_id", "lang", F.octet_length("text").alias("n"))
-    ranked = sized.select(
-        "doc_id", "lang", (~F.col("n").between(SAMPLE_LEAST, SAMPLE_MOST)).alias("odd"), "n", F.md5(F.concat(F.lit("lid:"), F.col("doc_id").cast("string"))).alias("h")
-    ).filter(F.col("n").between(1, SAMPLE_MOST))
-    n_rows = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = [x["lang"] for x in n_rows]
-    order = Window.partitionBy("lang").orderBy("odd", "h")
-    chosen = ranked.filter(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS)
-    ids = chosen.select("doc_id", "r").collect()
-    rank = {x["doc_id"]: x["r"] for x in ids}
-    if not rank:
+    langs = [x["lang"] for x in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    n = F.octet_length("text")
+    keyed = rows.filter(n > 0).withColumn("t", F.xxhash64("text"))
+    ranked = keyed.select(
+        "lang", "doc_id", "t", F.when(n > SAMPLE_MOST, 1).when(n < SAMPLE_LEAST, 2).otherwise(0).alias("odd"), F.md5(F.concat(F.lit("lid:"), F.col("doc_id").cast("string"))).alias("h")
+    )
+    order = Window.partitionBy("lang").orderBy("odd", F.asc_nulls_last("h"), "t")
+    chosen = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS)
+    chosen = chosen.groupBy("lang", "doc_id", "t").agg(F.min("r").alias("r"))
+    ids = chosen.collect()
+    if not ids:
         return {}
-    picked = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in rank], "doc_id long")), "doc_id", "left_semi")
+    c = F.broadcast(docs.sparkSession.createDataFrame(ids, chosen.schema)).alias("c")
+    same = (F.col("c.lang") == F.col("k.lang")) & F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.t") == F.col("k.t"))
+    middle = F.greatest(F.lit(1), ((F.length("text") - PIECE) / 2).cast("int"))
+    piece = F.when(n > SAMPLE_MOST, F.substring("text", middle, F.lit(PIECE))).otherwise(F.col("text"))
+    picked = keyed.alias("k").join(c, same).select("c.lang", "r", piece.alias("text")).dropDuplicates(["lang", "r"])
     texts: dict[str, list] = {x: [] for x in langs}
-    for row in picked.filter(F.octet_length("text").between(1, SAMPLE_MOST)).collect():
-        if row["lang"] in texts:
-            texts[row["lang"]].append((rank[row["doc_id"]], row["text"].encode()))
+    for row in picked.collect():
+        texts[row["lang"]].append((row["r"], row["text"].encode()))
     out = {}
     for lang, found in texts.items():
         parts, size, seen = [], 0, set()
