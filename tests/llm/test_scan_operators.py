@@ -128,6 +128,22 @@ def test_markov_held_out(spark, scores):
     assert rate[0] < 0.001 and rate[1] > 0.995
 
 
+def test_markov_joined_to_ordinary_text(spark, scores):
+    """Random strings are found before and behind paths, URLs and long names, which alone are not."""
+    import random
+    import string
+
+    r = random.Random(8)
+    around = ["{}", "/users/service/config/production/{}", "/home/deploy/projects/website/backend/settings/private/{}", "my_long_service_account_name_{}", "the-service-user-{}", "{}/users/service/config/production"]
+    cases = [(a, n, a.format("".join(r.choices(string.ascii_letters + string.digits, k=n - 1)) + r.choice(string.digits))) for a in around for n in (20, 32, 40) for _ in range(100)]
+    plain = [(a, 0, a.format("index_value2")) for a in around[1:]]
+    out = secrets.scan(frame(spark, [(i, t) for i, (_, _, t) in enumerate(cases + plain)]), scores)
+    hits = {}
+    for x in out.collect():
+        hits.setdefault((cases + plain)[x["doc_id"]][:2], []).append(len(x["base"]) + len(x["added"]) > 0)
+    assert all(sum(v) >= 0.95 * len(v) if n else not any(v) for (_, n), v in hits.items()), {k: sum(v) for k, v in hits.items()}
+
+
 def test_secrets_are_native(spark, scores):
     plan = secrets.scan(frame(spark, [(1, "a")]), scores)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapPartitions", plan)

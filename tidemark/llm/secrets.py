@@ -2,7 +2,9 @@
 
 DataFrame operations only. Two first-order character chains are counted from labelled
 samples (1: random strings, 0: ordinary identifiers); a long token is reported when its
-log-likelihood ratio per character pair is above a threshold. Only the table of pair
+log-likelihood ratio per character pair is above a threshold, or that of one of its segments,
+or when the sum over its best run of pairs is high: a random string joined to a path, URL or
+long name is not outvoted by it. Only the table of pair
 scores, of fixed size (67 x 67), comes to the driver and goes into the plan.
 
 Semantics
@@ -10,6 +12,7 @@ Semantics
   they are; columns other than the id and the text are ignored.
 * Base spans always stay. A token that touches a base span, is a UUID, or has no letter or
   no digit adds nothing.
+* A token is reported whole, with the path or name it holds. UUIDs in it don't count in its best run.
 * With a class missing from the samples the models can't be told apart and add nothing.
 """
 
@@ -30,11 +33,15 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+UUID = f"^{_UUID}$"
+SEPARATOR, SEGMENT_LEAST = r"[/=_-]", 16
 #: Rows without this can hold no span of any kind, and skip the rest.
 ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_=-]{20}"
 #: Mean log-likelihood ratio per pair of characters, in nats.
 THRESHOLD = 0.5
+#: Sum of the log-likelihood ratios over a token's best run of pairs, in nats.
+RUN_THRESHOLD = 28.0
 SMOOTHING = 0.5
 SAMPLES = 4000  # of each class, in the generated samples
 
@@ -112,14 +119,36 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
 
 def pair_score(token: Column, scores: list[float]) -> Column:
     """Mean score of the token's character pairs."""
-    table = F.expr("array(" + ",".join(f"{x!r}D" for x in scores) + ")")
     n = F.length(token)
-    total = F.aggregate(
-        F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, ((_at(token, i) - 1) * len(ALPHABET) + _at(token, i + 1)).cast("int"))
-    )
+    total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + _score(token, i, scores))
     return total / (n - 1)
 
 
+def best_run(token: Column, scores: list[float]) -> Column:
+    """Largest sum of scores over adjacent character pairs."""
+    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("best"))
+
+    def step(acc: Column, i: Column) -> Column:
+        run = F.greatest(acc["run"] + _score(token, i, scores), F.lit(0.0))
+        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.when(F.length(token) > 1, F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), start, step, lambda acc: acc["best"])).otherwise(0.0)
+
+
+def looks_random(token: Column, scores: list[float], threshold: float = THRESHOLD) -> Column:
+    """Whether the token, a segment of it between separators, or a run of its pairs does."""
+    mixed = lambda x: (F.length(x) >= SEGMENT_LEAST) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+    segment = F.exists(F.split(token, SEPARATOR), lambda x: F.when(mixed(x), pair_score(x, scores) >= threshold).otherwise(False))
+    run = best_run(F.regexp_replace(token, _UUID, "/"), scores) >= RUN_THRESHOLD
+    return F.when(pair_score(token, scores) >= threshold, True).when(segment, True).otherwise(run)
+
+
+def _score(token: Column, i: Column, scores: list[float]) -> Column:
+    """Of the pair that starts at the token's i-th character."""
+    table = F.expr("array(" + ",".join(f"{x!r}D" for x in scores) + ")")
+    return F.element_at(table, ((_at(token, i) - 1) * len(ALPHABET) + _at(token, i + 1)).cast("int"))
+
+
 def _at(token: Column, i: Column) -> Column:
     """Place of the token's i-th character in the alphabet."""
     return F.call_function("instr", F.lit(ALPHABET), F.call_function("substring", token, i, F.lit(1)))
@@ -139,7 +168,7 @@ def scan(docs: DataFrame, scores: list[float], threshold: float = THRESHOLD, id_
     found = rows.select("doc_id", text.alias("text")).select("doc_id", "text", if_any(base).alias("base"))
     if scores:
         odd = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(UUID)
-        more = if_any(_spans(F.col("text"), TOKEN, "random", lambda i, m: F.when(odd(m), pair_score(m, scores) >= threshold).otherwise(False)))
+        more = if_any(_spans(F.col("text"), TOKEN, "random", lambda i, m: F.when(odd(m), looks_random(m, scores, threshold)).otherwise(False)))
     else:
         more = F.array().cast(_SPANS)
     found = found.select("doc_id", "base", more.alias("more"))
