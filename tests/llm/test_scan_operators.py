@@ -262,6 +262,23 @@ def test_html(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<style>@media print {.ad{display:none}} @media (max-width:600px){.s{display:none}}</style><p class=ad>a<p class=s>b", "a\n\nb"),
+        ("<style>@supports (x:y){.a{display:none}}.b{display:none}</style><p class=a>a<p class=b>no", "a"),
+        ("<style>@import 'x.css';@media screen{.a{display:none}}@media print{.b{display:none}}.c{display:none}</style><p class=a>no<p class=b>b<p class=c>no", "b"),
+        ("<style>.x{display:none}.x{display:block}</style><p class=x>yes", "yes"), ("<style>.x{display:none}#i{display:block}p{display:none}</style><p class=x id=i>yes", "yes"),
+        ("<style>.x{display:none}.y{display:none!important}</style><p class=x style='display:block'>yes<p class=y style='display:block'>no", "yes"),
+        ("<div style='visibility:hidden'>no<p>no<p style='visibility:visible'>yes</div>", "yes"), ("<p style='backface-visibility:hidden'>yes", "yes"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path d='x'/><text>a</text><text>b</text></svg> c", "a b c"), ("<svg><title/><defs/><text>a</text></svg>", "a"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ],
+)
+def test_html_visibility(html, text):
+    assert html_text.html_to_text(html) == text
+
+
 def test_html_deep_and_long():
     assert html_text.html_to_text("<div>" * 50_000 + "deep") == "deep"
     assert "x" in html_text.html_to_text("<table><tr><td>" * 500 + "x")

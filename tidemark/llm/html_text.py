@@ -9,7 +9,12 @@ Semantics
   as they are; other columns are ignored or, in ``extract``, left untouched.
 * Not visible: ``head`` and raw data elements, ``hidden`` attributes, inline or simple
   embedded style rules with ``display:none`` or ``visibility:hidden|collapse``, closed
-  ``details`` except their summary, closed ``dialog``.
+  ``details`` except their summary, closed ``dialog``. The strongest value counts:
+  important, inline, id, class, tag, then the last one. Visible text inside an element of
+  hidden visibility stays. Rules with other than simple selectors are ignored.
+* Rules in ``@media`` count if it is ``all`` or ``screen`` without a condition; those in
+  other at-rules, except ``@layer``, don't.
+* Text of ``svg`` and ``math`` is visible, except what is not drawn (``FOREIGN_UNSEEN``).
 * Elements nested deeper than ``MAX_DEPTH`` become siblings at that depth; their text stays.
 * A column is padded to its widest cell, up to ``MAX_PAD`` characters; longer cells are
   written whole and unpadded.
@@ -33,7 +38,8 @@ GAP = "  "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript template textarea title".split())
 SHOWN_RAW = frozenset("xmp textarea".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math rp param".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas rp param".split())
+FOREIGN_UNSEEN = frozenset("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li listing main menu nav ol optgroup option p plaintext pre search section select summary table ul xmp caption textarea".split()
@@ -64,8 +70,9 @@ _TOKEN = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|([!?/]))")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _TAG_END = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CSS = re.compile(r"[{};]")
+_SHOW = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)([^;]*)", re.I)
+_SCREEN = re.compile(r"@layer\b.*|@media\s*(?:.*,)?\s*(?:(?:only\s+)?(?:all|screen))?\s*(?:,.*)?", re.I | re.S)
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?")
 _PRE = re.compile(r"white-space\s*:\s*(?:pre|break-spaces)", re.I)
 
@@ -127,8 +134,11 @@ class _Builder:
                 self._pop_to(i)
             if tag in ("td", "th") and not self._find({"tr"}, {"table"}) and self._find({"table"}, ()):
                 self._push(Element("tr", {}))
+        foreign = (closed or tag in FOREIGN_UNSEEN) and self._find({"svg", "math"}, {"foreignobject"})
+        if foreign and tag in FOREIGN_UNSEEN:
+            attrs = attrs | {"hidden": ""}
         element = Element(tag, attrs)
-        if tag in VOID or closed and tag in ("svg", "math", "path"):
+        if tag in VOID or closed and (foreign or tag in ("svg", "math", "path")):
             self.open[-1].children.append(element)
         else:
             self._push(element)
@@ -178,7 +188,7 @@ def parse(html: str) -> tuple[Element, list[str]]:
                 build.end(tag)
                 continue
             element = build.start(tag, _attributes(inside) if inside.strip(" /\n\t") else {}, inside.endswith("/"))
-            if tag in RAW:
+            if tag in RAW and (build.open[-1] is element or len(build.open) >= MAX_DEPTH):
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 stop = close.start() if close else n
                 if tag == "style":
@@ -195,15 +205,37 @@ def parse(html: str) -> tuple[Element, list[str]]:
     return build.root, build.css
 
 
-def hiding_rules(css: list[str]) -> set[tuple[str, str, str]]:
-    """Simple selectors (tag, kind, name) whose rule hides what it matches."""
-    out = set()
+def _values(style: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of display and visibility."""
+    return [(m.group(1).lower(), m.group(2).lower(), "!" in m.group(3)) for m in _SHOW.finditer(style)]
+
+
+def visibility_rules(css: list[str]) -> dict[tuple[str, str, str], list]:
+    """Simple selectors (tag, kind, name) to the display and visibility values they give, with their strength."""
+    out: dict[tuple[str, str, str], list] = {}
+    order = 0
     for text in css:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-            if _NONE.search(m.group(2)):
-                for s in m.group(1).split(","):
-                    if (x := _SIMPLE.fullmatch(s.strip())) and x.group():
-                        out.add(((x.group(1) or "").lower(), x.group(2) or "", x.group(3) or ""))
+        text = re.sub(r"/\*.*?\*/", "", text, flags=re.S).replace("<!--", "").replace("-->", "")
+        blocks: list[tuple[str, bool]] = []  # open blocks: what stands before, whether it applies
+        at = 0
+        for m in _CSS.finditer(text):
+            before, at = text[at : m.start()], m.end()
+            applies = not blocks or blocks[-1][1]
+            if m.group() == "{":
+                head = before.strip()
+                outer = not blocks or blocks[-1][0].startswith("@")
+                blocks.append((head, applies and outer and (not head.startswith("@") or bool(_SCREEN.fullmatch(head)))))
+                continue
+            if blocks and applies and not blocks[-1][0].startswith("@"):
+                for prop, value, important in _values(before):
+                    order += 1
+                    for s in blocks[-1][0].split(","):
+                        if (x := _SIMPLE.fullmatch(s.strip())) and x.group():
+                            key = ((x.group(1) or "").lower(), x.group(2) or "", x.group(3) or "")
+                            weight = {"#": 100, ".": 10, "": 0}[key[1]] + bool(key[0])
+                            out.setdefault(key, []).append((important, weight, order, prop, value))
+            if m.group() == "}" and blocks:
+                blocks.pop()
     return out
 
 
@@ -272,23 +304,36 @@ class _Flow:
 
 
 class _Layout:
-    def __init__(self, rules: set[tuple[str, str, str]]):
+    def __init__(self, rules: dict[tuple[str, str, str], list]):
         self.rules = rules
-        self.simple = {r for r in rules if r[0] and not r[1]}
+
+    def style(self, e: Element) -> dict[str, str]:
+        """The element's own display and visibility, where given."""
+        found = list(self.rules.get((e.tag, "", ""), ())) if self.rules else []
+        if a := e.attrs:
+            if self.rules:
+                for kind, names in ((".", set(a.get("class", "").split())), ("#", [a["id"]] if "id" in a else [])):
+                    for name in names:
+                        found += self.rules.get(("", kind, name), ())
+                        found += self.rules.get((e.tag, kind, name), ())
+            if "style" in a:
+                found += [(important, 1000, i, prop, value) for i, (prop, value, important) in enumerate(_values(a["style"]))]
+        return {prop: value for _, _, _, prop, value in sorted(found)}
 
     def unseen(self, e: Element) -> bool:
-        if e.tag in UNSEEN or (e.tag, "", "") in self.simple:
+        if e.tag in UNSEEN or e.tag == "input" and e.attrs or e.tag == "dialog" and "open" not in e.attrs:
             return True
-        a = e.attrs
-        if not a:
-            return e.tag == "dialog"
-        if "hidden" in a or _NONE.search(a.get("style", "")) or e.tag == "input" or e.tag == "dialog" and "open" not in a:
+        if not e.attrs and not self.rules:
+            return False
+        style = self.style(e)
+        if style.get("display", "none" if "hidden" in e.attrs else "") == "none":
             return True
-        if self.rules:
-            for kind, names in ((".", a.get("class", "").split()), ("#", [a["id"]] if "id" in a else [])):
-                if any((t, kind, name) in self.rules for name in names for t in ("", e.tag)):
-                    return True
-        return False
+        return style.get("visibility") in ("hidden", "collapse") and not self.strip(e)
+
+    def strip(self, e: Element) -> bool:
+        """Takes out what is hidden with an element of hidden visibility; whether anything stays."""
+        e.children = [c for c in e.children if isinstance(c, Element) and (self.style(c).get("visibility") in ("visible", "initial") and not self.unseen(c) or self.strip(c))]
+        return bool(e.children)
 
     def flow(self, children: list, f: _Flow, pre: bool, depth: int) -> None:
         for c in children:
@@ -324,7 +369,7 @@ class _Layout:
             self.flow(children, f, pre, depth)
             f.block(gap)
             f.indent = before
-        elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot"):  # outside any table
+        elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "text"):  # outside any table, and in svg
             f.inline(" ")
             self.flow(e.children, f, pre, depth)
             f.inline(" ")
@@ -431,7 +476,7 @@ def html_to_text(html: str | None) -> str:
     if not html:
         return ""
     root, css = parse(html)
-    lines = _Layout(hiding_rules(css)).lines([root] if root.children else [])
+    lines = _Layout(visibility_rules(css)).lines([root] if root.children else [])
     while lines and not lines[0]:
         lines.pop(0)
     while lines and not lines[-1]:
