@@ -167,3 +167,12 @@ def test_connected_components(spark):
     got = {x["node"]: x["component"] for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(c == 500 for n, c in got.items() if 500 <= n < 700) and got[902] == 901 and 900 not in got
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_substring_texts_under_one_id(spark):
+    """Each row of a repeated doc_id loses its own repeats only, whatever texts the others have."""
+    passage, clean = " ".join(f"p{i}" for i in range(20)), " ".join(f"c{i}" for i in range(40))
+    rows = [(1, passage), (2, f"x y {passage} z"), (2, clean), (2, "short"), (2, None)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect())
+    assert got == sorted([(1, 20, 0, passage), (2, 23, 20, "x y z"), (2, 40, 0, clean), (2, 1, 0, "short"), (2, 0, 0, "")])

@@ -17,7 +17,7 @@ Semantics
 * Words are runs of other than space and U+0009 to U+000D, unchanged. A null or empty text
   has none. A window counts as repeated if it starts in a document with a smaller doc_id
   in the input; copies within one document don't count. Rows that repeat a doc_id are not
-  smaller than each other. A row with a null doc_id takes no part and stays whole.
+  smaller than each other, and each loses what its own text repeats. A row with a null doc_id takes no part and stays whole.
 * Comparison is by 64-bit hashes of windows that already share their 64-bit anchor.
 * Other columns are ignored. An empty table gives no rows.
 """
@@ -70,7 +70,7 @@ def _blocks(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
             lists = batch.column(2)
             ends = lists.offsets.to_numpy()
             wanted = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -95,24 +95,24 @@ def _blocks(window: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(anchor[first])), pa.array(signed(block)), pa.array(ids[lo + row[first]].astype(np.int64)),
-                        pa.array((at[first] - words.first[row[first]]).astype(np.int32)), windows,
+                        pa.array(keys[lo + row[first]].astype(np.int64)), pa.array((at[first] - words.first[row[first]]).astype(np.int32)), windows,
                     ],
-                    ["anchor", "block", "doc_id", "start", "windows"],
+                    ["anchor", "block", "doc_id", "text_hash", "start", "windows"],
                 )
 
     return run
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, start, end`` in words: passages that start in a smaller doc_id; they may overlap."""
-    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    seeds = materialize(docs.mapInArrow(_seeds(window, gram), "anchor long, doc_id long"), "seeds")
+    """``doc_id, text_hash, start, end`` in words: passages that start in a smaller doc_id; they may overlap."""
+    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    seeds = materialize(docs.select("doc_id", "text").mapInArrow(_seeds(window, gram), "anchor long, doc_id long"), "seeds")
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     shared = materialize(shared, "shared-anchors")
     of_doc = materialize(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "document-seeds")
     discard(seeds, shared)
     blocks = materialize(
-        docs.join(of_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_blocks(window, gram), "anchor long, block long, doc_id long, start int, windows array<long>"),
+        docs.join(of_doc, "doc_id").select("doc_id", "text", "anchors", "text_hash").mapInArrow(_blocks(window, gram), "anchor long, block long, doc_id long, text_hash long, start int, windows array<long>"),
         "seed-blocks",
     )
     discard(of_doc)
@@ -121,11 +121,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     marked = materialize(first.join(mixed, "anchor", "left"), "marked-blocks")
     known = materialize(blocks.join(marked, ["anchor", "block"]).filter("first_doc < doc_id or mixed"), "known-blocks")
     discard(blocks, first, mixed, marked)
-    whole = known.filter("first_doc < doc_id").select("doc_id", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
-    ends = known.filter("first_doc = doc_id").select("anchor", "doc_id", "start", F.posexplode("windows").alias("i", "w"))
+    whole = known.filter("first_doc < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
+    ends = known.filter("first_doc = doc_id").select("anchor", "doc_id", "text_hash", "start", F.posexplode("windows").alias("i", "w"))
     earliest = ends.groupBy("anchor", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "w", "lo")
     earliest = materialize(earliest, "earliest-windows")
-    part = ends.join(earliest, ["anchor", "w"]).filter("lo < doc_id").select("doc_id", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + window).alias("end"))
+    part = ends.join(earliest, ["anchor", "w"]).filter("lo < doc_id").select("doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + window).alias("end"))
     return whole.unionByName(part)
 
 
@@ -154,8 +154,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_words, n_removed, kept``: kept words joined by a space, for every row."""
     rows = key_and_text(docs, id_col, text_col)
     found = repeats(rows, window, gram)
-    spans = materialize(found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeated-passages")
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string")
+    spans = materialize(found.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeated-passages")
+    return rows.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
