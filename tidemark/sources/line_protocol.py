@@ -1,36 +1,142 @@
-r"""Line protocol to rows and back, in column expressions.
+r"""Line protocol to rows and back.
 
 ``measurement,tag=value field=1.5,other=8i,text="x" 1609459200000000000``. Blank lines and lines
 starting with # are skipped. Bad lines are kept with an error, good ones go on.
 
-Escapes are ``\n \r \t \\ \" \, \= \ `` and are honoured everywhere, in measurement and tags too.
+A line is read once, from left to right, in Arrow batches. Escapes are ``\n \r \t \\ \" \, \= \ ``
+and are honoured everywhere, in measurement and tags too; a backslash before anything else stays.
 A line without timestamp takes ``now``. A tag or field named twice is an error.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConflictingTypes
 from ..model import Measurement
+from ..scratch import importable
 
-_LINE = r'^((?:\\.|[^\\ ])+)(?: +((?:\\.|"(?:\\.|[^"\\])*"|[^\\" ])+))?(?: +(\S+))?(?: +(.*))?$'
-_FIELD = r'((?:\\.|[^\\=,"])+)=("(?:\\.|[^"\\])*"|[^",]+)'
-# Spellings of booleans.
+# Spellings of booleans, and escapes.
 _TRUE, _FALSE = ("t", "T", "true", "True", "TRUE"), ("f", "F", "false", "False", "FALSE")
-_NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-_MARK = "\u0001"  # stands for an escaped backslash while the others are resolved
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\", '"': '"', ",": ",", "=": "=", " ": " "}
 
 _KINDS = {"float": ("f", "double"), "integer": ("i", "bigint"), "unsigned": ("u", "decimal(20,0)"), "string": ("s", "string"), "boolean": ("b", "boolean")}
-
-
-def unescape(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\\\"), F.lit(_MARK))
-    c = F.regexp_replace(c, r'\\([,= "])', "$1")
-    for code, char in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        c = F.replace(c, F.lit(code), F.lit(char))
-    return F.replace(c, F.lit(_MARK), F.lit("\\"))
+_ESCAPE = re.compile(r"\\(.)", re.S)
+_NAME = re.compile(r"(?:\\.|[^\\, ])+", re.S)
+_TAG = re.compile(r",((?:\\.|[^\\,= ])+)=((?:\\.|[^\\, ])+)", re.S)
+_FIELD = re.compile(r'((?:\\.|[^\\=," ])+)=(?:"((?:\\.|[^"\\])*)"|([^", ]+))', re.S)
+_NUMBER = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_WHOLE = re.compile(r"[+-]?[0-9]+")
+
+
+class BadLine(ValueError):
+    """What is wrong with a line."""
+
+
+def _unescape(text: str) -> str:
+    return _ESCAPE.sub(lambda m: _ESCAPES.get(m[1], m[0]), text) if "\\" in text else text
+
+
+def _value(text: str) -> tuple:
+    """(kind, f, i, u, s, b) of an unquoted value."""
+    if text in _TRUE or text in _FALSE:
+        return ("boolean", None, None, None, None, text in _TRUE)
+    if text[-1] == "i" and _WHOLE.fullmatch(text, 0, len(text) - 1) and -(2**63) <= int(text[:-1]) < 2**63:
+        return ("integer", None, int(text[:-1]), None, None, None)
+    if text[-1] == "u" and text[:-1].isascii() and text[:-1].isdigit() and int(text[:-1]) < 2**64:
+        return ("unsigned", None, None, Decimal(text[:-1]), None, None)
+    if _NUMBER.fullmatch(text):
+        return ("float", float(text), None, None, None, None)
+    raise BadLine("invalid value")
+
+
+def parse_line(line: str) -> tuple[str, dict[str, str], dict[str, tuple], int | None]:
+    """(measurement, tags, fields, time in nanoseconds or None); raises BadLine."""
+    name = _NAME.match(line)
+    if not name:
+        raise BadLine("empty measurement")
+    at, tags = name.end(), {}
+    while at < len(line) and line[at] == ",":
+        tag = _TAG.match(line, at)
+        if not tag:
+            raise BadLine("invalid tag")
+        key, at = _unescape(tag[1]), tag.end()
+        if key in tags:
+            raise BadLine("repeated tag")
+        tags[key] = _unescape(tag[2])
+    if at < len(line) and line[at] != " ":
+        raise BadLine("invalid escape")
+    while at < len(line) and line[at] == " ":
+        at += 1
+    if at == len(line):
+        raise BadLine("no fields")
+    fields: dict[str, tuple] = {}
+    while True:
+        field = _FIELD.match(line, at)
+        if not field:
+            raise BadLine("invalid field")
+        key, at = _unescape(field[1]), field.end()
+        if key in fields:
+            raise BadLine("repeated field")
+        fields[key] = ("string", None, None, None, _unescape(field[2]), None) if field[3] is None else _value(field[3])
+        if at == len(line) or line[at] == " ":
+            break
+        if line[at] != ",":
+            raise BadLine("invalid field")
+        at += 1
+    rest = line[at:].split(" ", 1) if at == len(line) else line[at:].strip(" ").split(" ", 1)
+    if rest == [""]:
+        return _unescape(name[0]), tags, fields, None
+    if not _WHOLE.fullmatch(rest[0]) or not -(2**63) <= int(rest[0]) < 2**63:
+        raise BadLine("invalid timestamp")
+    if len(rest) > 1:
+        raise BadLine("more than three parts")
+    return _unescape(name[0]), tags, fields, int(rest[0])
+
+
+_VALUE = pa.struct([("kind", pa.string()), ("f", pa.float64()), ("i", pa.int64()), ("u", pa.decimal128(20, 0)), ("s", pa.string()), ("b", pa.bool_())])
+_PARSED = "line string, measurement string, time_ns bigint, tags map<string,string>, fields map<string,struct<kind:string,f:double,i:bigint,u:decimal(20,0),s:string,b:boolean>>, error string"
+
+
+def _map(rows: list[dict | None], items) -> pa.MapArray:
+    """Maps of the rows; ``items`` makes the Arrow array of all their values."""
+    ends, keys, values = [0], [], []
+    for row in rows:
+        if row:
+            keys.extend(row)
+            values.extend(row.values())
+        ends.append(len(keys))
+    offsets = pa.array([None if i < len(rows) and rows[i] is None else e for i, e in enumerate(ends)], pa.int32())
+    return pa.MapArray.from_arrays(offsets, pa.array(keys, pa.string()), items(values))
+
+
+def _values(found: list[tuple]) -> pa.StructArray:
+    columns = list(zip(*found, strict=True)) or [()] * _VALUE.num_fields
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _VALUE, strict=True)], fields=list(_VALUE))
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, names, times, tags, fields, errors = [], [], [], [], [], []
+        for line in batch.column(0).to_pylist():
+            try:
+                found, error = parse_line(line), None
+            except BadLine as e:
+                found, error = (None, None, None, None), str(e)
+            lines.append(line)
+            errors.append(error)
+            for column, x in zip((names, tags, fields, times), found, strict=True):
+                column.append(x)
+        strings = lambda x: pa.array(x, pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [strings(lines), strings(names), pa.array(times, pa.int64()), _map(tags, strings), _map(fields, _values), strings(errors)], ["line", "measurement", "time_ns", "tags", "fields", "error"]
+        )
 
 
 def escape(c: Column, also: str = ",= ") -> Column:
@@ -40,72 +146,46 @@ def escape(c: Column, also: str = ",= ") -> Column:
     return c
 
 
-def _value(text: Column) -> Column:
-    """A typed value; ``kind`` is null if the text is none."""
-    quoted = text.rlike(r'(?s)^".*"$')
-    integer, unsigned = text.rlike(r"^[+-]?[0-9]+i$"), text.rlike(r"^[0-9]+u$")
-    number = text.rlike(_NUMBER)
-    body = F.substring(text, F.lit(1), F.length(text) - 1)
-    i, u = body.try_cast("bigint"), body.try_cast("decimal(20,0)")
-    kind = (
-        F.when(text.isin(*_TRUE, *_FALSE), "boolean").when(quoted, "string").when(integer & i.isNotNull(), "integer")
-        .when(unsigned & u.isNotNull() & (u <= F.lit("18446744073709551615").cast("decimal(20,0)")), "unsigned").when(number, "float")
-    )
-    return F.struct(
-        kind.alias("kind"), F.when(kind == "float", text.try_cast("double")).alias("f"), F.when(kind == "integer", i).alias("i"), F.when(kind == "unsigned", u).alias("u"),
-        F.when(kind == "string", unescape(F.substring(text, F.lit(2), F.length(text) - 2))).alias("s"), F.when(kind == "boolean", text.isin(*_TRUE)).alias("b"),
-    )
-
-
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """``line, measurement, time_ns, tags, fields, error``: one row per line that says something."""
     raw = lines.select(F.trim(F.col(column)).alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    part = lambda k: F.regexp_extract("line", _LINE, k)
-    rows = raw.select("line", part(1).alias("series"), part(2).alias("body"), part(3).alias("stamp"), part(4).alias("rest"))
-    keys = F.split("series", r"(?<!\\),")
-    pairs = F.transform(F.slice(keys, 2, F.greatest(F.size(keys) - 1, F.lit(1))), lambda x: F.split(x, r"(?<!\\)=", 2))
-    names = F.regexp_extract_all("body", F.lit(_FIELD), 1)
-    values = F.regexp_extract_all("body", F.lit(_FIELD), 2)
-    rows = rows.select("line", "stamp", "rest", "body", keys.alias("keys"), pairs.alias("pairs"), names.alias("names"), values.alias("texts"))
-    rows = rows.withColumn("typed", F.transform("texts", _value))
-    spelled = F.array_join(F.zip_with("names", "texts", lambda a, b: F.concat(a, F.lit("="), b)), ",")
-    bad_tag = F.exists("pairs", lambda p: (F.size(p) < 2) | (F.get(p, 0) == "") | (F.get(p, 1) == ""))
-    stamped = F.col("stamp") != ""
-    tag_names, field_names = F.transform("pairs", lambda p: unescape(F.get(p, 0))), F.transform("names", unescape)
-    repeated = lambda names: F.size(F.array_distinct(names)) < F.size(names)
-    error = (
-        F.when(F.size("keys") == 0, "no measurement").when(F.get("keys", 0) == "", "empty measurement").when(bad_tag, "invalid tag").when(repeated(tag_names), "repeated tag").when(F.col("body") == "", "no fields")
-        .when(spelled != F.col("body"), "invalid field").when(repeated(field_names), "repeated field").when(F.exists("typed", lambda v: v["kind"].isNull()), "invalid value")
-        .when(stamped & F.col("stamp").try_cast("bigint").isNull(), "invalid timestamp").when(F.col("rest") != "", "more than three parts")
-    )
-    now = F.unix_micros(F.current_timestamp()) * 1000
-    good = lambda c: F.when(F.col("error").isNull(), c)
-    tag_map = F.map_from_entries(F.transform("pairs", lambda p: F.struct(unescape(F.get(p, 0)), unescape(F.get(p, 1)))))
-    field_map = F.map_from_arrays(field_names, "typed")
-    return rows.withColumn("error", error).select(
-        "line", good(unescape(F.get("keys", 0))).alias("measurement"), good(F.when(stamped, F.col("stamp").try_cast("bigint")).otherwise(now)).alias("time_ns"),
-        good(tag_map).alias("tags"), good(field_map).alias("fields"), "error",
-    )
-
-
-def measurement(parsed: DataFrame, name: str) -> tuple[Measurement, DataFrame]:
-    """Rows of one measurement with a column per tag and field. Finds the keys in one small aggregation.
+    importable(lines.sparkSession)
+    rows = raw.mapInArrow(_parse, _PARSED)
+    now = F.when(F.col("error").isNull(), F.unix_micros(F.current_timestamp()) * 1000)
+    return rows.withColumn("time_ns", F.coalesce("time_ns", now))
+
+
+def keys_of(parsed: DataFrame) -> dict[str, tuple[tuple[str, ...], dict[str, str]]]:
+    """Tags and fields with their types by measurement, from one aggregation; its size is that of the schemas.
 
     A field that comes with two types raises ConflictingTypes.
     """
+    good = parsed.filter(F.col("error").isNull())
+    none = F.lit(None).cast("string")
+    each = F.concat(
+        F.transform(F.map_keys("tags"), lambda k: F.struct(k.alias("key"), none.alias("kind"))),
+        F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("key"), e["value"]["kind"].alias("kind"))),
+    )
+    found = good.select("measurement", F.explode(each).alias("e")).select("measurement", "e.key", "e.kind").distinct().collect()
+    out: dict[str, tuple[set[str], dict[str, str]]] = {}
+    for r in found:
+        tags, fields = out.setdefault(r["measurement"], (set(), {}))
+        if r["kind"] is None:
+            tags.add(r["key"])
+        elif fields.setdefault(r["key"], r["kind"]) != r["kind"]:
+            raise ConflictingTypes(f"field {r['key']!r} of {r['measurement']!r} is both {fields[r['key']]} and {r['kind']}")
+    return {name: (tuple(sorted(tags)), dict(sorted(fields.items()))) for name, (tags, fields) in out.items()}
+
+
+def measurement(parsed: DataFrame, name: str, keys: tuple[tuple[str, ...], dict[str, str]] | None = None) -> tuple[Measurement, DataFrame]:
+    """Rows of one measurement with a column per tag and field; ``keys`` as ``keys_of`` found them."""
     rows = parsed.filter(F.col("error").isNull() & (F.col("measurement") == name))
-    keys = rows.select(F.explode(F.map_keys("tags")).alias("k")).distinct()
-    kinds = rows.select(F.explode("fields").alias("k", "v")).select("k", "v.kind").distinct()
-    tags = tuple(sorted(r["k"] for r in keys.collect()))
-    fields: dict[str, str] = {}
-    for r in kinds.collect():
-        if fields.setdefault(r["k"], r["kind"]) != r["kind"]:
-            raise ConflictingTypes(f"field {r['k']!r} of {name!r} is both {fields[r['k']]} and {r['kind']}")
+    tags, fields = keys if keys is not None else keys_of(rows).get(name, ((), {}))
     time = F.timestamp_micros(F.expr("time_ns DIV 1000") - F.when(F.pmod("time_ns", F.lit(1000)) != 0, F.when(F.col("time_ns") < 0, 1).otherwise(0)).otherwise(0))
     columns = [time.cast("timestamp_ntz").alias("time"), F.col("time_ns")]
     columns += [F.col("tags")[t].alias(t) for t in tags]
-    columns += [F.col("fields")[f][_KINDS[k][0]].alias(f) for f, k in sorted(fields.items())]
-    return Measurement(name, "time", tags, tuple(sorted(fields)), ("time_ns",)), rows.select(*columns)
+    columns += [F.col("fields")[f][_KINDS[k][0]].alias(f) for f, k in fields.items()]
+    return Measurement(name, "time", tags, tuple(fields), ("time_ns",)), rows.select(*columns)
 
 
 def export(df: DataFrame, m: Measurement) -> DataFrame:
