@@ -124,3 +124,71 @@ def test_sessions(spark):
     df = spark.createDataFrame(rows, "time timestamp_ntz, host string, usage double")
     got = sorted((r["points"], r["total"]) for r in continuous.sessions(df, CPU, "10m", "usage").collect())
     assert got == [(2, 2.0), (2, 2.0)]
+
+
+def _tiers(tmp_path):
+    return str(tmp_path / "hot"), {"warm": str(tmp_path / "warm"), "cold": str(tmp_path / "cold")}
+
+
+def test_move_keeps_what_the_tier_has(spark, tmp_path):
+    source, targets = _tiers(tmp_path)
+    now = datetime(2024, 3, 5)
+    for n in (1, 2):
+        tables.append(cpu(spark, n), CPU, source)
+        assert move(spark, source, targets, Tiers(), now) == {"2024-01-01": "cold"}
+    assert sorted(r["usage"] for r in spark.read.parquet(targets["cold"]).collect()) == [0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("stop", ["before the source is hidden", "hidden, not yet visible", "visible, not yet deleted"])
+def test_move_stopped_half_way(spark, tmp_path, monkeypatch, stop):
+    from tidemark.streaming import retention
+
+    source, targets = _tiers(tmp_path)
+    now = datetime(2024, 3, 5)
+    tables.append(cpu(spark, 3), CPU, source)
+    with monkeypatch.context() as m:
+        if stop == "before the source is hidden":
+            rewrite = retention._rewrite
+            m.setattr(retention, "_rewrite", lambda *a: (rewrite(*a), 1 / 0))
+        elif stop == "hidden, not yet visible":
+            m.setattr(retention, "_finish", lambda *a: 1 / 0)
+        else:
+            finish = retention._finish
+
+            def finish_but_leave_the_source(spark, source, *rest):
+                kept = tmp_path / "kept"
+                hidden = next((tmp_path / "hot").glob("_moving.*"))
+                import shutil
+
+                shutil.copytree(hidden, kept)
+                finish(spark, source, *rest)
+                shutil.copytree(kept, hidden)
+                raise ZeroDivisionError
+
+            m.setattr(retention, "_finish", finish_but_leave_the_source)
+        with pytest.raises(ZeroDivisionError):
+            move(spark, source, targets, Tiers(), now)
+    move(spark, source, targets, Tiers(), now)
+    assert tables.partitions(spark, source) == []
+    assert sorted(r["usage"] for r in spark.read.parquet(targets["cold"]).collect()) == [0.0, 1.0, 2.0]
+
+
+def test_append_refuses_another_type(spark, tmp_path):
+    from tidemark.errors import ConflictingTypes
+
+    path = str(tmp_path / "t")
+    tables.append(cpu(spark), CPU, path)
+    with pytest.raises(ConflictingTypes):
+        tables.append(cpu(spark).selectExpr("time", "host", "CAST(usage AS STRING) AS usage"), CPU, path)
+    assert tables.open_table(spark, CPU, path)[1].count() == 10
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidemark.scratch import work_root
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+    assert work_root(session("local[8]", None)) == "/tmp/checkpoints" and work_root(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        work_root(session("yarn", None))

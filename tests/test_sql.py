@@ -104,3 +104,25 @@ def test_total_rows_and_functions(e):
     assert e.total_rows({"measurement": "cpu", "limit": 1}) == 12
     e.define("half", "x DOUBLE", "x / 2")
     assert rows(e.sql("SELECT MAX(half(usage)) FROM cpu")) == [(5.5,)]
+
+
+def test_system_calls_only_as_calls(spark):
+    from tidemark.plans.engine import Engine
+
+    assert Engine(spark).sql("SELECT 'version()' AS a, /* version() */ version ( ) AS b").collect()[0].asDict() == {"a": "version()", "b": "tidemark on Apache Spark"}
+
+
+def test_gap_fill_with_long_gaps_and_null_keys(spark):
+    from datetime import datetime, timedelta
+
+    from tidemark.functions.buckets import PIECE, gap_fill
+
+    start, n = datetime(2024, 1, 1), 2 * PIECE + 10
+    times = [start + timedelta(seconds=s) for s in (5, PIECE, PIECE + 1, n - 1)]
+    df = spark.createDataFrame([(t, k, 1) for t in times for k in ("a", None)], "time timestamp_ntz, k string, n long")
+    got = gap_fill(df, "time", "1s", start, start + timedelta(seconds=n), ["k"], ["n"]).collect()
+    assert len(got) == 2 * n and sum(r["n"] for r in got) == 8 and len({(r["time"], r["k"]) for r in got}) == 2 * n
+    one = gap_fill(df.filter("k = 'a'").drop("k"), "time", "1s", start, start + timedelta(seconds=n), [], ["n"]).collect()
+    assert sorted(r["time"] for r in one) == [start + timedelta(seconds=i) for i in range(n)] and sum(r["n"] for r in one) == 4
+    none = gap_fill(df.filter("false").drop("k"), "time", "1s", start, start + timedelta(seconds=n), [], ["n"]).collect()
+    assert len(none) == n and all(r["n"] == 0 for r in none)

@@ -120,6 +120,21 @@ def _call(name: str, args: list[Token], over: str) -> str | None:
     return None
 
 
+def answer_calls(tokens: list[Token], answers: dict[str, str]) -> list[Token]:
+    """Calls without arguments of the functions in ``answers`` replaced by their text."""
+    out, i = [], 0
+    while i < len(tokens):
+        t = tokens[i]
+        if t.kind == "word" and t.text.lower() in answers:
+            a = _skip(tokens, i + 1)
+            b = _skip(tokens, a + 1)
+            if b < len(tokens) and tokens[a].text == "(" and tokens[b].text == ")":
+                t, i = Token("string", answers[t.text.lower()]), b
+        out.append(t)
+        i += 1
+    return out
+
+
 def rewrite_tokens(tokens: list[Token]) -> str:
     out: list[str] = []
     i = 0
@@ -185,9 +200,9 @@ def _default_order(tokens: list[Token]) -> bool:
     return {"select", "from", "limit"} <= words and not words & {"order", "group", "distinct", "join", "union", "intersect", "except", "with", "having"} and not calls & _AGGREGATES
 
 
-def to_spark_sql(sql: str) -> str:
-    """One statement of the dialect as Spark SQL."""
-    tokens = one_statement(sql)
+def to_spark_sql(sql: str, answers: dict[str, str] | None = None) -> str:
+    """One statement of the dialect as Spark SQL; ``answers``: SQL texts of calls without arguments."""
+    tokens = answer_calls(one_statement(sql), answers or {})
     if _default_order(tokens):
         at = next(i for i, t in enumerate(tokens) if t.word("limit"))
         tokens = [*tokens[:at], *tokenize("ORDER BY time DESC "), *tokens[at:]]

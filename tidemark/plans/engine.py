@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidQuery
 from ..model import Measurement, Query
 from ..operators import series as series_ops
+from ..scratch import delete, materialize
 from .catalog import Catalog
 from .compiler import compile_query
 from .dialect import one_statement, to_spark_sql
@@ -66,12 +67,7 @@ class Engine:
         low = text.lower()
         if "information_schema" in low or "pg_" in low:
             self.catalog.publish()
-        return self.spark.sql(self._system(to_spark_sql(text)))
-
-    def _system(self, sql: str) -> str:
-        for name, value in _SYSTEM.items():
-            sql = re.sub(rf"(?i)\b{name}\s*\(\s*\)", value, sql)
-        return re.sub(r"(?i)\bcurrent_database\s*\(\s*\)", f"'{self.catalog.database}'", sql)
+        return self.spark.sql(to_spark_sql(text, {**_SYSTEM, "current_database": f"'{self.catalog.database}'"}))
 
     def explain(self, request: Query | dict | str, mode: str = "formatted") -> str:
         df = self.sql(request) if isinstance(request, str) else self.query(request)
@@ -87,13 +83,18 @@ class Engine:
         if self.root is None:
             raise InvalidQuery("writing needs an engine with a root folder")
         df = self.spark.createDataFrame([(x,) for x in lines], "value string") if isinstance(lines, list) else lines
-        parsed = line_protocol.parse(df)
-        for name in [r[0] for r in parsed.filter("error IS NULL").select("measurement").distinct().collect()]:
-            m, points = line_protocol.measurement(parsed, name)
+        # Parsed once; a folder for each measurement, so that each is read by itself.
+        parsed, folder = materialize(line_protocol.parse(df), "parsed-lines", "measurement")
+        known = line_protocol.keys_of(parsed)
+        for name, keys in sorted(known.items()):
+            m, points = line_protocol.measurement(parsed, name, keys)
             path = tables.path_of(self.root, name)
             tables.append(points, m, path)
             self.register(*tables.open_table(self.spark, m, path))
-        return parsed.filter("error IS NOT NULL").select("line", "error")
+        bad = parsed.filter("error IS NOT NULL").select("line", "error")
+        bad, _ = materialize(bad, "rejected-lines")
+        delete(self.spark, folder)
+        return bad
 
     # --- what there is
 
