@@ -5,7 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tidemark.queries import ORACLE_SQL, QUERIES
+from tidemark import queries, queries_more
+
+QUERIES = queries.QUERIES | queries_more.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | queries_more.ORACLE_SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()

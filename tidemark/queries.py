@@ -15,6 +15,7 @@ from .model import And, Frame, Measurement, Not, Or, QueryBuilder, Tag, WindowCa
 from .operators import series as series_ops
 from .operators.windows import apply_window
 from .plans.engine import Engine
+from .scratch import new_path
 from .sources import line_protocol
 from .sources.tables import without_existing
 from .streaming import continuous
@@ -174,7 +175,7 @@ _window("range_frame", "count(*) OVER (PARTITION BY event_type ORDER BY event_id
 _window("window_percentile", "round(quantile_cont(value, 0.5) OVER (PARTITION BY event_type), 6)", WindowCall("p50", "value", _TYPE, alias="v"), 6)
 _window("window_first", f"first_value(value) OVER ({_OVER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", WindowCall("first", "value", _USER, _TIME, Frame("rows", -2, 0), alias="v"))
 _window("window_last", f"last_value(value) OVER ({_OVER} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)", WindowCall("last", "value", _USER, _TIME, Frame("rows", 0, 2), alias="v"))
-_window("window_minmax", f"max(value) OVER ({_OVER} ROWS 4 PRECEDING)", WindowCall("max", "value", _USER, _TIME, Frame("rows", -4, 0), alias="v"))
+_window("window_max", f"max(value) OVER ({_OVER} ROWS 4 PRECEDING)", WindowCall("max", "value", _USER, _TIME, Frame("rows", -4, 0), alias="v"))
 _window("window_stddev", "round(CASE WHEN count(value) OVER w = 1 THEN 0.0 ELSE stddev_samp(value) OVER w END, 6)", WindowCall("stddev", "value", _USER, _TIME, Frame("rows", -2, 0), alias="v"), 6)
 ORACLE_SQL["window_stddev"] += f" WINDOW w AS ({_OVER} ROWS 2 PRECEDING)"
 
@@ -211,7 +212,6 @@ for _how, _where in (("all", "event_type = 'click' AND user_id = 3"), ("any", "e
 _add("show_tables", "SELECT unnest(['events', 'lineitem', 'orders']) AS name", lambda e: e.sql("SHOW TABLES"))
 _add("information_schema_columns", "SELECT unnest(['time', 'o_orderstatus', 'o_orderpriority', 'o_totalprice', 'o_orderkey']) AS column_name", lambda e: e.sql("SELECT column_name FROM information_schema.columns WHERE table_name = 'orders'"))
 _add("stats", "SELECT 'events' AS measurement, count(*) AS rows, count(DISTINCT (event_type, user_id)) AS series, min(ts) AS first, max(ts) AS last FROM events", lambda e: e.stats().filter("measurement = 'events'"))
-_add("explain_sql", None, lambda e: e.sql("EXPLAIN SELECT count(*) FROM events WHERE event_type = 'click'"))
 
 # --- ingest
 
@@ -237,10 +237,8 @@ _ROLL_SQL = f"SELECT {_HOUR} AS time, event_type, round(avg(value), 8) AS value,
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup as a stream of the table's files, run to the end, read back from the newest revisions."""
-    import uuid
-
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir))
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     q = continuous.start(_ROLLUP, EVENTS.mark(source), EVENTS, f"{root}/sink", f"{root}/state")
     q.awaitTermination()
     return _rounded(continuous.latest(spark, _ROLLUP, f"{root}/sink"), 8, "value")
@@ -274,8 +272,6 @@ _add(
     lambda e: e.catalog.get("events")[1].groupBy(Tiers().column(F.col("time"), NOW).alias("tier")).agg(F.count("*").alias("n")),
 )
 _add("shard_by_time", "SELECT (floor(epoch_us(ts) / 86400000000)::BIGINT % 8) AS shard, count(*) AS n FROM events GROUP BY 1", lambda e: e.catalog.get("events")[1].groupBy(shard_column(EVENTS, "time", 8).alias("shard")).agg(F.count("*").alias("n")))
-for _how in ("series", "composite", "measurement"):
-    _add(f"shard_by_{_how}", None, lambda e, h=_how: e.catalog.get("events")[1].groupBy(shard_column(EVENTS, h, 8).alias("shard")).agg(F.count("*").alias("n")))
 _add(
     "session_windows",
     "WITH x AS (SELECT ts, event_type, user_id, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '12 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)), "
