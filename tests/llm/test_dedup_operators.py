@@ -176,3 +176,34 @@ def test_substring_texts_under_one_id(spark):
     out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect())
     assert got == sorted([(1, 20, 0, passage), (2, 23, 20, "x y z"), (2, 40, 0, clean), (2, 1, 0, "short"), (2, 0, 0, "")])
+
+
+def test_index_with_a_null_id_and_later_batches(spark, tmp_path):
+    """A digest that came without an id is known all the same."""
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 2)
+    batches = [[(None, "x")], [(7, "x"), (8, "y")], [(9, "x"), (9, "y"), (10, "z"), (11, "z")]]
+    got = [sorted(map(str, ((r["doc_id"], r["keep_id"], r["kept"]) for r in index.dedup(frame(spark, b)).collect()))) for b in batches]
+    assert got == [["(None, None, True)"], ["(7, None, False)", "(8, 8, True)"], ["(10, 11, False)", "(11, 11, True)", "(9, 8, False)", "(9, None, False)"]]
+    assert index.read().count() == 3
+
+
+def test_index_is_compacted_and_grows(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, 2)
+    monkeypatch.setattr(exact_dedup, "MOST_FILES", 2)
+    for b in range(4):
+        assert all(r["kept"] for r in index.dedup(frame(spark, [(10 * b + i, f"{b} {i}") for i in range(9)])).collect())
+    assert index.version > 0 and index.files_a_bucket() <= 2
+    index.compact(8)
+    index.close()
+    again = exact_dedup.DigestIndex(spark, path)
+    assert (again.buckets, again.files_a_bucket(), again.read().count()) == (8, 1.0, 36)
+    assert not any(r["kept"] for r in again.dedup(frame(spark, [(1, "0 0"), (99, "3 8")])).collect())
+    plan = again.unseen(exact_dedup.digests(frame(spark, [(1, "a")])).distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+
+
+def test_exact_dedup_leaves_nothing_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_dedup(frame(spark, [(1, "a")])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -7,24 +7,15 @@ re-computation of the stages before.
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no folder, as in local tests.
-LOCAL_DEFAULT = "/tmp/checkpoints"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def work_root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+from ..scratch import delete, new_path
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -54,9 +45,7 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_tidemark_path", None)
         if path:
-            spark = table.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+            delete(table.sparkSession, path)
 
 
 def within(df: DataFrame, limit: int) -> bool:
