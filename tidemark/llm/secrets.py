@@ -43,6 +43,8 @@ THRESHOLD = 0.5
 #: Sum of the log-likelihood ratios over a token's best run of pairs, in nats.
 RUN_THRESHOLD = 28.0
 SMOOTHING = 0.5
+#: Elements that are run at once where running values of an array are needed.
+CHUNK = 64
 SAMPLES = 4000  # of each class, in the generated samples
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -100,39 +102,95 @@ def train(samples: DataFrame) -> list[float]:
 # --- expressions ------------------------------------------------------------------------
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
-    """Spans of all matches for which keep(match number, match) holds: the pieces between matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.transform(
-        found, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("skip"), F.length(m).alias("n"), keep(i, m).alias("keep"))
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["skip"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + x["n"]).alias("end"))
-        return F.struct((begin + x["n"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def _append(chunk: Column, zero: Column, step) -> Column:
+    """zero, step(zero, x1), step(.., x2) ..: the running values of a short array."""
+    return F.aggregate(chunk, F.array(zero), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+
+def running(values: Column, zero: Column, step, levels: int = 3) -> Column:
+    """For each of ``values`` what ``step``, which is associative, makes of those before it.
+
+    An array grows by copying, so chunks of ``CHUNK`` are run one by one, and the results of the
+    chunks, level by level, in the same way: the work is in proportion to the length.
+    """
+    return _let(values, lambda v: _running(v, zero, step, levels))
+
+
+def _running(values: Column, zero: Column, step, levels: int) -> Column:
+    n = F.size(values)
+    if levels == 1:
+        return F.slice(_append(values, zero, step), 1, n)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def join(chunks: Column) -> Column:
+        before = running(F.transform(chunks, lambda c: F.element_at(c, -1)), zero, step, levels - 1)
+        return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: step(b, x))))
+
+    return _let(F.transform(starts, lambda k: _append(F.slice(values, k * CHUNK + 1, CHUNK), zero, step)), join)
+
+
+def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column:
+    """Spans of all matches for whose ``group`` keep(text of the group) holds: the pieces between matches give the places."""
+    # What a lambda holds is computed for each element, so all that depends on the text is bound outside.
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"),
+        *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")] if group else []),
+    )
+
+    def placed(f: Column) -> Column:
+        # A match ends after all that is before it: pieces and matches in turn.
+        ends = F.zip_with(F.slice(f["p"], 1, F.size(f["m"])), f["m"], lambda p, m: F.length(p).cast("long") + F.length(m))
+        return _let(F.arrays_zip(f["m"].alias("m"), f["g" if group else "m"].alias("g"), ends.alias("e"), running(ends, F.lit(0).cast("long"), lambda a, b: a + b).alias("b")), chosen)
+
+    def chosen(rows: Column) -> Column:
+        good = F.filter(rows, lambda x: keep(x["g"]))
+        return F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), (x["b"] + x["e"] - F.length(x["m"])).alias("start"), (x["b"] + x["e"]).alias("end")))
+
+    return _let(found, placed).cast(_SPANS)
+
+
+def _literal(values: list, kind: str) -> Column:
+    """An array of numbers as one literal, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def _pair_scores(token: Column, scores: list[float]) -> Column:
+    """The scores of a token's character pairs, in order; every character is looked up once."""
+    # Characters by their code; those outside the alphabet count as its last.
+    codes = [ALPHABET.find(chr(c)) if chr(c) in ALPHABET else len(ALPHABET) - 1 for c in range(128)]
+    places, table = _literal(codes, "int"), _literal(scores, "double")
+    at = F.transform(F.split(token, ""), lambda c: F.element_at(places, F.least(F.ascii(c), F.lit(127)) + 1))
+
+    def pairs(codes: Column) -> Column:
+        n = F.size(codes)
+        return F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda a, b: F.element_at(table, a * len(ALPHABET) + b + 1))
+
+    return F.when(F.length(token) > 1, _let(at, pairs)).otherwise(F.array().cast("array<double>"))
+
+
+def _sum(scores: Column) -> Column:
+    return F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def pair_score(token: Column, scores: list[float]) -> Column:
     """Mean score of the token's character pairs."""
-    n = F.length(token)
-    total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + _score(token, i, scores))
-    return total / (n - 1)
+    return _sum(_pair_scores(token, scores)) / (F.length(token) - 1)
 
 
 def best_run(token: Column, scores: list[float]) -> Column:
     """Largest sum of scores over adjacent character pairs."""
     start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        run = F.greatest(acc["run"] + _score(token, i, scores), F.lit(0.0))
+    def step(acc: Column, x: Column) -> Column:
+        run = F.greatest(acc["run"] + x, F.lit(0.0))
         return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.when(F.length(token) > 1, F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), start, step, lambda acc: acc["best"])).otherwise(0.0)
+    return F.aggregate(_pair_scores(token, scores), start, step, lambda acc: acc["best"])
 
 
 def looks_random(token: Column, scores: list[float], threshold: float = THRESHOLD) -> Column:
@@ -143,37 +201,41 @@ def looks_random(token: Column, scores: list[float], threshold: float = THRESHOL
     return F.when(pair_score(token, scores) >= threshold, True).when(segment, True).otherwise(run)
 
 
-def _score(token: Column, i: Column, scores: list[float]) -> Column:
-    """Of the pair that starts at the token's i-th character."""
-    table = F.expr("array(" + ",".join(f"{x!r}D" for x in scores) + ")")
-    return F.element_at(table, ((_at(token, i) - 1) * len(ALPHABET) + _at(token, i + 1)).cast("int"))
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that touch none of ``base``: by running maxima of the ends before and minima of the starts after."""
+    far = F.lit(2**62)
+    event = lambda own: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), x["kind"].alias("kind"))
 
+    def sweep(e: Column) -> Column:
+        ends = running(F.transform(e, lambda x: F.when(x["own"], F.lit(-1).cast("long")).otherwise(x["end"])), F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b))
+        starts = running(F.reverse(F.transform(e, lambda x: F.when(x["own"], far).otherwise(x["start"]))), far, lambda a, b: F.least(a, b))
+        judged = F.arrays_zip(e.alias("x"), ends.alias("before"), F.reverse(starts).alias("after"))
+        free = F.filter(judged, lambda j: j["x"]["own"] & (j["before"] <= j["x"]["start"]) & (j["after"] >= j["x"]["end"]))
+        return F.transform(free, lambda j: F.struct(j["x"]["kind"].alias("kind"), j["x"]["start"].alias("start"), j["x"]["end"].alias("end")))
 
-def _at(token: Column, i: Column) -> Column:
-    """Place of the token's i-th character in the alphabet."""
-    return F.call_function("instr", F.lit(ALPHABET), F.call_function("substring", token, i, F.lit(1)))
+    return _let(F.array_sort(F.concat(F.transform(base, event(False)), F.transform(more, event(True)))), sweep).cast(_SPANS)
 
 
 def scan(docs: DataFrame, scores: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, base, added``: arrays of (kind, start, end) for every row, by start."""
     rows = key_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     text = F.when(F.col("text").rlike(ANY), F.col("text")).otherwise("")
-    values = F.regexp_extract_all(F.col("text"), F.lit(ASSIGN), F.lit(2))
     if_any = lambda c: F.when(F.col("text") == "", F.array().cast(_SPANS)).otherwise(c)
+    rows = rows.select("doc_id", text.alias("text"))
     base = F.concat(
-        _spans(F.col("text"), ASSIGN, "assign", lambda i, m: F.length(F.get(values, i)) >= ASSIGN_LEAST),
-        _spans(F.col("text"), ACCESS, "access", lambda i, m: F.length(m) >= ACCESS_LEAST),
-        _spans(F.col("text"), f"[0-9a-f]{{{HEX_LEAST},}}", "hex", lambda i, m: F.lit(True)),
+        _spans(F.col("text"), ASSIGN, "assign", lambda g: F.length(g) >= ASSIGN_LEAST, 2),
+        _spans(F.col("text"), ACCESS, "access", lambda m: F.length(m) >= ACCESS_LEAST),
+        _spans(F.col("text"), f"[0-9a-f]{{{HEX_LEAST},}}", "hex", lambda m: F.lit(True)),
     )
-    found = rows.select("doc_id", text.alias("text")).select("doc_id", "text", if_any(base).alias("base"))
+    found = rows.select("doc_id", "text", if_any(base).alias("base"))
     if scores:
         odd = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(UUID)
-        more = if_any(_spans(F.col("text"), TOKEN, "random", lambda i, m: F.when(odd(m), looks_random(m, scores, threshold)).otherwise(False)))
+        more = if_any(_spans(F.col("text"), TOKEN, "random", lambda m: F.when(odd(m), looks_random(m, scores, threshold)).otherwise(False)))
     else:
         more = F.array().cast(_SPANS)
     found = found.select("doc_id", "base", more.alias("more"))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return found.select("doc_id", "base", F.when(F.size("more") > 0, F.filter("more", apart)).otherwise(F.col("more")).alias("added"))
+    both = (F.size("more") > 0) & (F.size("base") > 0)
+    return found.select("doc_id", "base", F.when(both, _apart(F.col("more"), F.col("base"))).otherwise(F.col("more")).alias("added"))
 
 
 def joined(spans: Column) -> Column:
