@@ -159,3 +159,107 @@ def mixed(rows, temperature=0.5):
         for c in range(1, poisson(unit(f"mix-1:{i}:1"), rate) + 1):
             out.append((unit(f"mix-1-order:{i}:{c}"), i, c))
     return [(i, c) for _, i, c in sorted(out)]
+
+
+def languages(rows):
+    """{doc_id: (language, rejected)} by the rule that operator 8 states, for rows (doc_id, text, lang) with ids and texts of their own."""
+    import zlib
+
+    import zstandard
+
+    learn = [r for r in rows if r[1] and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = Counter(r[2] for r in learn)
+    order = sorted(counts, key=lambda x: (-counts[x], x))
+    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=5, min_match=3, strategy=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+    models = {}
+    for lang in order:
+        ranked = []
+        for i, text, label in learn:
+            if label == lang:
+                n = len(text.encode())
+                ranked.append(((1 if n > 16384 else 2 if n < 400 else 0), hashlib.md5(f"lid:{i}".encode()).hexdigest(), text))
+        parts = []
+        for odd, _, text in sorted(ranked)[:64]:
+            if odd == 1:
+                middle = max(1, int((len(text) - 4096) / 2)) - 1
+                text = text[middle : middle + 4096]
+            if not parts or sum(len(p.encode()) for p in parts) + len(text.encode()) <= 112 * 1024:
+                parts.append(text)
+        content = "\n".join(parts[::-1]).lower().encode()
+        models[lang] = (content, zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def size(data, lang):
+        content, prepared = models[lang]
+        coder = zstandard.ZstdCompressor(compression_params=how, dict_data=prepared)
+        tail = content[-300:]
+        return sum(len(coder.compress(tail + b" " + data[i : i + 4096])) - len(coder.compress(tail)) for i in range(0, len(data), 4096))
+
+    out = {}
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            out[i] = ("und", True)
+            continue
+        sizes = [size(text.lower().encode(), lang) for lang in order]
+        best, second = sorted(sizes)[:2]
+        out[i] = (order[sizes.index(best)], second - best < max(1, 0.02 * best))
+    return out
+
+
+def page(r):
+    """(a random well-formed page, its visible words)."""
+    words = []
+
+    def text(seen):
+        w = f"w{r.randrange(10**6)}"
+        if seen:
+            words.append(w)
+        return w + r.choice([" ", "\n", "&nbsp;", " <!-- w0 --> "])
+
+    def node(depth, seen):
+        kind = r.randrange(9 if depth < 5 else 2)
+        many = lambda: "".join(node(depth + 1, seen) for _ in range(r.randrange(1, 4)))
+        if kind < 2:
+            return text(seen)
+        if kind == 2:
+            return f"<{(t := r.choice(['p', 'b', 'span', 'h2', 'i']))}>{text(seen)}</{t}>"
+        if kind == 3:
+            return f"<div>{many()}</div>"
+        if kind == 4:
+            return "<ul>" + "".join(f"<li>{node(depth + 1, seen)}</li>" for _ in range(r.randrange(1, 4))) + "</ul>"
+        if kind == 5:
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{text(seen)}</td>" for _ in range(r.randrange(1, 4))) + "</tr>" for _ in range(r.randrange(1, 4))) + "</table>"
+        if kind == 6:
+            hide = r.choice(["hidden", "style='display: none'", "class=gone"])
+            return f"<div {hide}>{''.join(node(depth + 1, False) for _ in range(2))}</div>"
+        if kind == 7:
+            return f"<{(t := r.choice(['script', 'style', 'template']))}>w1</{t}>"
+        return f"<section>{many()}</section><br>"
+
+    body = "".join(node(0, True) for _ in range(r.randrange(1, 8)))
+    return f"<html><head><title>w2</title><style>.gone {{display: none}} @media print {{div {{display: none}}}}</style></head><body>{body}</body></html>", words
+
+
+def visible(html):
+    """Words of a page as the standard library's parser reads it, without what is hidden."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag != "br":
+                self.hidden.append(tag in ("head", "script", "style", "template", "title") or "hidden" in a or "none" in a.get("style", "") or a.get("class") == "gone")
+
+        def handle_endtag(self, tag):
+            self.hidden.pop()
+
+        def handle_data(self, data):
+            if not any(self.hidden):
+                self.words.extend(re.findall(r"w[0-9]+", data))
+
+    reader = Reader()
+    reader.feed(html)
+    return reader.words

@@ -1,5 +1,6 @@
 """Personal data, secrets, contamination, language, HTML, mixing."""
 
+import os
 import re
 
 import brute
@@ -232,6 +233,29 @@ def test_language_learns_every_label(spark):
     assert len(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 300
 
 
+def test_language_against_a_plain_version(spark):
+    """Texts from a word to several blocks, in learned languages, in a mixture, and in none."""
+    r = brute.random.Random(4)
+    words = {x: ["".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(300)] for x, letters in (("en", "abcdefgh"), ("de", "defghijkäö"), ("fr", "ghijklméè"), (None, "qrstuvw"))}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(r.choice([1, 3, 12, 60, 300, 4000]))), x) for i, x in enumerate(r.choices(list(words), k=240))]
+    rows += [(900 + i, " ".join(r.choice(words[r.choice(("en", "de"))]) for _ in range(200)), None) for i in range(20)] + [(999, None, "en"), (998, "1 2", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["lang_pred"], x["rejected"]) for x in language_id.classify(df, language_id.fit(df)).collect()}
+    want = brute.languages(rows)
+    assert got == want and len({x for x, _ in want.values()}) == 4 and 10 < sum(x for _, x in want.values()) < 200
+
+
+def test_language_margin(spark):
+    """A language that wasn't learned is mostly rejected, the learned ones are not."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no sample tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = docs.filter("lang <> 'fr'")
+    out = language_id.classify(docs.filter(language_id.held_out(F.col("doc_id"))), language_id.fit(known)).collect()
+    share = lambda rows: sum(x["rejected"] for x in rows) / len(rows)
+    assert share([x for x in out if x["lang"] == "fr"]) > 0.6 and share([x for x in out if x["lang"] != "fr"]) < 0.03
+
+
 def test_language_odd_rows(spark):
     dictionaries = language_id.fit(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
     rows = [(1, None), (2, ""), (3, "123 ... !!"), (4, "der die und das " * 30_000), (4, "der die und das " * 30_000), (None, "THE OF AND TO IN IS")]
@@ -287,6 +311,39 @@ def test_html_deep_and_long():
     assert len(html_text.html_to_text(f"<table>{rows}</table>")) < 300_000
 
 
+@pytest.mark.parametrize("value", ["²", "9" * 5000, "-3", "", "x", "0", " +2", "2.5", "1e9", "٣"])
+def test_html_spans_never_fail(value):
+    text = html_text.html_to_text(f"<table><tr><td colspan='{value}' rowspan='{value}'>aa<td>bb<tr><td>cc</table>")
+    assert re.findall(r"[a-c]{2}", text) == ["aa", "bb", "cc"] and len(text) < 6000
+
+
+def test_html_work_grows_with_the_page():
+    """Pages that would take quadratic time or text if spans, style sheets or comments were followed naively."""
+    import time
+
+    wide = "<table><tr>" + "<td>" + "x" * 50 + "</td>" * 1 + "<td>y" * 5000 + "".join("<tr>" + "<td colspan=1000>a" * 20 for _ in range(3000)) + "</table>"
+    deep = "<table>" + "<tr>" + "<td colspan=1000 rowspan=65534>b" * 200 + "<tr><td>c" * 10_000 + "</table>"
+    for page in (wide, deep, "<style>" + "/*" * 100_000 + "</style>ok", "<style>@media" + " " * 200_000 + "{.a{}}</style>ok", "<style>" + "a" * 200_000 + "</style>ok", "<a '" * 50_000):
+        began = time.perf_counter()
+        text = html_text.html_to_text(page)
+        assert time.perf_counter() - began < 20 and len(text) < 20 * len(page)
+
+
+def test_html_against_a_plain_reader():
+    """Random pages of blocks, lists, tables, hidden parts and comments: the same words in the same order."""
+    r = brute.random.Random(8)
+    for _ in range(300):
+        page, words = brute.page(r)
+        assert re.findall(r"w[0-9]+", html_text.html_to_text(page)) == words == brute.visible(page), page
+
+
+def test_html_any_text():
+    r = brute.random.Random(9)
+    bits = ["<", ">", "</", "table", "td", "tr", "div", "style", "{", "}", "/*", "*/", "!--", "-->", "'", '"', "=", " ", "colspan", "²", "&amp;", "&#99999999;", "display:none", "a", "@media", ";", "svg", "textarea"]
+    for _ in range(3000):
+        html_text.html_to_text("".join(r.choice(bits) for _ in range(r.randrange(40))))
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (None, None, None)], "page_id long, html string, text string")
     got = html_text.extract(df)
@@ -328,3 +385,35 @@ def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert contaminated(frame(spark, rows), bench) == sorted(brute.contamination(rows, items), key=repr)
     assert decontaminate._bits_for(10) == 128
+
+
+def test_secrets_work_grows_with_the_text(spark):
+    """A token of a million characters, and thousands of matches: nothing is walked again for each character or match."""
+    import base64
+    import random
+    import time
+
+    r = random.Random(3)
+    scores = secrets.train(secrets.labelled_samples(spark))
+    token = base64.b64encode(r.randbytes(750_000)).decode()
+    many = " ".join(f"token={r.getrandbits(60):015x}z" for _ in range(20_000))
+    began = time.perf_counter()
+    got = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame([(1, f"a {token} b"), (2, many)], "doc_id long, text string"), scores).collect()}
+    assert time.perf_counter() - began < 60
+    assert [tuple(s) for s in got[1]["added"]] == [("random", 2, 2 + len(token))]
+    want = [m.span() for m in re.finditer(r"token=[0-9a-z]+", many)]
+    assert [(s["start"], s["end"]) for s in got[2]["base"]] == want and len(want) == 20_000
+
+
+def test_secrets_models_tell_held_out_samples_apart(spark):
+    """Samples beyond those the models are counted from: recall and false alarms of the added spans."""
+    n = 1500
+    scores = secrets.train(secrets.labelled_samples(spark, n))
+    rows = secrets.labelled_samples(spark, 2 * n).select("label", "text", F.monotonically_increasing_id().alias("doc_id"))
+    seen = secrets.labelled_samples(spark, n).select("text")
+    held = rows.join(seen, "text", "left_anti").filter(F.col("text").rlike(r"^[A-Za-z0-9+/_=-]{20,}$") & F.col("text").rlike("[0-9]") & F.col("text").rlike("[A-Za-z]"))
+    found = {}
+    for label in (0, 1):
+        got = secrets.scan(held.filter(F.col("label") == label).select("doc_id", F.concat(F.lit("x "), "text").alias("text")), scores).collect()
+        found[label] = sum(len(x["added"]) + sum(s["kind"] == "hex" for s in x["base"]) > 0 for x in got) / len(got)
+    assert found[1] > 0.95 and found[0] < 0.02, found

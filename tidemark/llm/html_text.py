@@ -17,11 +17,13 @@ Semantics
 * Text of ``svg`` and ``math`` is visible, except what is not drawn (``FOREIGN_UNSEEN``).
 * Elements nested deeper than ``MAX_DEPTH`` become siblings at that depth; their text stays.
 * A column is padded to its widest cell, up to ``MAX_PAD`` characters; longer cells are
-  written whole and unpadded.
+  written whole and unpadded. Beyond ``MAX_LINE`` characters cells are only separated. A cell's
+  text is always written, whatever its spans say; spans that are no numbers count as 1.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -32,6 +34,10 @@ from pyspark.sql import functions as F
 
 MAX_DEPTH = 200
 MAX_PAD = 60
+#: Cells that would begin beyond this many characters follow the one before without alignment.
+MAX_LINE = 2000
+#: Cells that reach down over other rows do so in this many first columns.
+MAX_COLUMNS = 1000
 GAP = "  "
 
 # Fixed values of the HTML standard.
@@ -72,7 +78,9 @@ _TAG_END = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _CSS = re.compile(r"[{};]")
 _SHOW = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)([^;]*)", re.I)
-_SCREEN = re.compile(r"@layer\b.*|@media\s*(?:.*,)?\s*(?:(?:only\s+)?(?:all|screen))?\s*(?:,.*)?", re.I | re.S)
+#: Media queries that hold on a screen, whatever its size.
+_SCREEN = frozenset(("", "all", "screen", "only all", "only screen"))
+_NUMBER = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?")
 _PRE = re.compile(r"white-space\s*:\s*(?:pre|break-spaces)", re.I)
 
@@ -210,12 +218,41 @@ def _values(style: str) -> list[tuple[str, str, bool]]:
     return [(m.group(1).lower(), m.group(2).lower(), "!" in m.group(3)) for m in _SHOW.finditer(style)]
 
 
+def _without_comments(css: str) -> str:
+    """An open comment runs to the end."""
+    parts, at = [], 0
+    while (start := css.find("/*", at)) >= 0:
+        parts.append(css[at:start])
+        stop = css.find("*/", start + 2)
+        if stop < 0:
+            return "".join(parts)
+        at = stop + 2
+    return "".join(parts) + css[at:]
+
+
+def _on_screen(head: str) -> bool:
+    """Whether the block of an at-rule applies to every screen."""
+    head = head.lower()
+    if head.startswith("@media"):
+        return any(" ".join(q.split()) in _SCREEN for q in head[6:].split(","))
+    return re.match(r"@layer\b", head) is not None
+
+
+def _span(value: str | None, most: int) -> int:
+    """A colspan or rowspan as the standard reads it: leading digits, cut at ``most``; 1 where there is none, 0 stays."""
+    found = _NUMBER.match(value or "")
+    if not found:
+        return 1
+    digits = found[1].lstrip("0")
+    return most if len(digits) > 6 else min(int(digits or "0"), most)
+
+
 def visibility_rules(css: list[str]) -> dict[tuple[str, str, str], list]:
     """Simple selectors (tag, kind, name) to the display and visibility values they give, with their strength."""
     out: dict[tuple[str, str, str], list] = {}
     order = 0
     for text in css:
-        text = re.sub(r"/\*.*?\*/", "", text, flags=re.S).replace("<!--", "").replace("-->", "")
+        text = _without_comments(text).replace("<!--", "").replace("-->", "")
         blocks: list[tuple[str, bool]] = []  # open blocks: what stands before, whether it applies
         at = 0
         for m in _CSS.finditer(text):
@@ -224,7 +261,7 @@ def visibility_rules(css: list[str]) -> dict[tuple[str, str, str], list]:
             if m.group() == "{":
                 head = before.strip()
                 outer = not blocks or blocks[-1][0].startswith("@")
-                blocks.append((head, applies and outer and (not head.startswith("@") or bool(_SCREEN.fullmatch(head)))))
+                blocks.append((head, applies and outer and (not head.startswith("@") or _on_screen(head))))
                 continue
             if blocks and applies and not blocks[-1][0].startswith("@"):
                 for prop, value, important in _values(before):
@@ -437,32 +474,40 @@ class _Layout:
             for cell in row:
                 while busy.get(at, 0) > 0:
                     at += 1
-                span, deep = (min(max(1, int(v)) if (v := cell.attrs.get(k, "1")).isdigit() else 1, 1000) for k in ("colspan", "rowspan"))
+                # The standard's limits. A rowspan of 0 reaches to the end of the table.
+                span, deep = _span(cell.attrs.get("colspan"), 1000) or 1, _span(cell.attrs.get("rowspan"), 65_534) or 65_534
                 lines = self.lines(cell.children) or [""]
                 cells.append((at, span, lines))
                 if span == 1:
                     widths[at] = max(widths.get(at, 0), *(len(x) if len(x) <= MAX_PAD else 0 for x in lines))
-                for k in range(at, at + span):
-                    covers[k] = deep
+                if deep > 1:
+                    for k in range(at, min(at + span, MAX_COLUMNS)):
+                        covers[k] = deep
                 at += span
-            busy = {k: v for k in {*busy, *covers} if (v := max(busy.get(k, 0) - 1, covers.get(k, 1) - 1)) > 0}
+            busy = {k: v for k in {*busy, *covers} if (v := max(busy.get(k, 0), covers.get(k, 0)) - 1) > 0}
             placed.append(cells)
+        # Where each column begins; columns that no cell has for itself take no room.
+        begins, upto = {}, 0
+        for k in sorted(widths):
+            begins[k] = upto
+            upto += widths[k] + len(GAP)
+            if upto > MAX_LINE:
+                break
+        known = sorted(begins)
         out = list(head)
         for cells in placed:
             for i in range(max((len(lines) for _, _, lines in cells), default=0)):
-                line, want = "", 0
-                col = 0
-                for at, span, lines in cells:
-                    while col < at:
-                        want += widths.get(col, 0) + len(GAP)
-                        col += 1
+                parts, size = [], 0
+                for at, _, lines in cells:
                     text = lines[i] if i < len(lines) else ""
-                    line = line.ljust(want) if len(line) <= want or not line else line + GAP
-                    line += text
-                    for _ in range(span):
-                        want += widths.get(col, 0) + len(GAP)
-                        col += 1
-                out.append(line.rstrip())
+                    if not text:
+                        continue
+                    k = bisect.bisect_left(known, at)
+                    want = begins[known[k]] if k < len(known) else MAX_LINE + 1
+                    gap = want - size if size <= want <= MAX_LINE else len(GAP) if size else 0
+                    parts += [" " * gap, text]
+                    size += gap + len(text)
+                out.append("".join(parts).rstrip())
         return out
 
     def lines(self, children: list) -> list[str]:
