@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing
-from tidemark.llm.queries import importable
 from tidemark.llm.work import materialize
+from tidemark.scratch import importable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
