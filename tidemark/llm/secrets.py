@@ -36,6 +36,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 _UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 UUID = f"^{_UUID}$"
 SEPARATOR, SEGMENT_LEAST = r"[/=_-]", 16
+KEYWORDS = r"""(?i:passw|secret|token|api_?key)[a-zA-Z"']{0,4}\x20*[:=]"""
 #: Rows without this can hold no span of any kind, and skip the rest.
 ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_=-]{20}"
 #: Mean log-likelihood ratio per pair of characters, in nats.
@@ -131,11 +132,15 @@ def _running(values: Column, zero: Column, step, levels: int) -> Column:
         before = running(F.transform(chunks, lambda c: F.element_at(c, -1)), zero, step, levels - 1)
         return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: step(b, x))))
 
-    return _let(F.transform(starts, lambda k: _append(F.slice(values, k * CHUNK + 1, CHUNK), zero, step)), join)
+    chunks = F.transform(starts, lambda k: _append(F.slice(values, k * CHUNK + 1, CHUNK), zero, step))
+    return F.when(n <= CHUNK, F.slice(_append(values, zero, step), 1, n)).otherwise(_let(chunks, join))
 
 
-def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column:
-    """Spans of all matches for whose ``group`` keep(text of the group) holds: the pieces between matches give the places."""
+def _spans(text: Column, pattern: str, kind: str, possible: Column, keep, group: int = 0) -> Column:
+    """Spans of all matches for whose ``group`` keep(text of the group) holds: the pieces between matches give the places.
+
+    ``possible``: whether there can be a match, a test that costs less than the search.
+    """
     # What a lambda holds is computed for each element, so all that depends on the text is bound outside.
     found = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"),
@@ -151,7 +156,7 @@ def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Colum
         good = F.filter(rows, lambda x: keep(x["g"]))
         return F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), (x["b"] + x["e"] - F.length(x["m"])).alias("start"), (x["b"] + x["e"]).alias("end")))
 
-    return _let(found, placed).cast(_SPANS)
+    return F.when(possible, _let(found, placed)).otherwise(F.array()).cast(_SPANS)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -223,14 +228,14 @@ def scan(docs: DataFrame, scores: list[float], threshold: float = THRESHOLD, id_
     if_any = lambda c: F.when(F.col("text") == "", F.array().cast(_SPANS)).otherwise(c)
     rows = rows.select("doc_id", text.alias("text"))
     base = F.concat(
-        _spans(F.col("text"), ASSIGN, "assign", lambda g: F.length(g) >= ASSIGN_LEAST, 2),
-        _spans(F.col("text"), ACCESS, "access", lambda m: F.length(m) >= ACCESS_LEAST),
-        _spans(F.col("text"), f"[0-9a-f]{{{HEX_LEAST},}}", "hex", lambda m: F.lit(True)),
+        _spans(F.col("text"), ASSIGN, "assign", F.col("text").rlike(KEYWORDS), lambda g: F.length(g) >= ASSIGN_LEAST, 2),
+        _spans(F.col("text"), ACCESS, "access", F.col("text").contains("AKIA"), lambda m: F.length(m) >= ACCESS_LEAST),
+        _spans(F.col("text"), f"[0-9a-f]{{{HEX_LEAST},}}", "hex", F.col("text").rlike(f"[0-9a-f]{{{HEX_LEAST}}}"), lambda m: F.lit(True)),
     )
     found = rows.select("doc_id", "text", if_any(base).alias("base"))
     if scores:
         odd = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(UUID)
-        more = if_any(_spans(F.col("text"), TOKEN, "random", lambda m: F.when(odd(m), looks_random(m, scores, threshold)).otherwise(False)))
+        more = if_any(_spans(F.col("text"), TOKEN, "random", F.col("text").rlike("[A-Za-z0-9+/_=-]{20}"), lambda m: F.when(odd(m), looks_random(m, scores, threshold)).otherwise(False)))
     else:
         more = F.array().cast(_SPANS)
     found = found.select("doc_id", "base", more.alias("more"))
