@@ -207,3 +207,27 @@ def test_exact_dedup_leaves_nothing_behind(spark):
     before = {t.name for t in spark.catalog.listTables()}
     exact_dedup.exact_dedup(frame(spark, [(1, "a")])).collect()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_substring_dedup_with_repeated_ids(spark):
+    """Rows of one id with different texts: each keeps what is its own and loses what its own text repeats."""
+    r = brute.random.Random(6)
+    words = [f"v{i}" for i in range(60)]
+    passages = [" ".join(r.choice(words) for _ in range(n)) for n in (13, 14, 20, 45, 90)]
+    rows = []
+    for i in range(90):
+        own = [" ".join(r.choice(words) for _ in range(r.randrange(0, 30))) for _ in range(3)]
+        rows.append((r.randrange(30), f"{own[0]} {r.choice(passages)} {own[1]} {r.choice(passages)} {own[2]}"))
+    rows += [(1, None), (2, ""), (3, "short one"), (None, passages[4]), (0, passages[3]), (0, passages[3])]
+    starts = {}
+    for i, text in rows:
+        w = (text or "").split()
+        for k in range(len(w) - 12) if i is not None else ():
+            starts.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    want = []
+    for i, text in rows:
+        w = (text or "").split()
+        gone = {k + j for k in range(len(w) - 12) if i is not None and min(starts[tuple(w[k : k + 13])]) < i for j in range(13)}
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = [tuple(x) for x in substring_dedup.substring_dedup(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[2] for x in want) > 500

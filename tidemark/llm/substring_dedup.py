@@ -3,22 +3,24 @@
 Seeds are winnowed anchors: of the ``GRAM``-word grams in every window of ``WINDOW`` words
 the leftmost least by hash. Equal windows have equal anchors at equal places, so each window
 belongs to one anchor, and only anchors that two documents share can belong to a repeat.
-Each such seed is extended both ways to its block, the union of the windows it anchors.
-Blocks with the same words in an earlier document are repeats as a whole; where documents
-share a seed but not the block, the block's windows are compared one by one, which finds
-how far the match goes on either side. Adjacent repeats unite to maximal ones, which are
-at least ``WINDOW`` words long by construction.
-
-A seed's documents are never paired: per anchor, block and window only the smallest doc_id
-is kept, by aggregations that combine before the shuffle, and joined back. The kept rows are
-tables by then, so that adaptive execution can split a hot key of the large side. So a passage in a third of all documents costs linear work.
+Documents are joined on the anchors they share. From each a match is extended both ways as far as
+windows around it have it as their anchor; beyond, the next anchor takes over. Where the whole
+stretch is the same in an earlier document, word for word, it repeats as a whole; where documents
+share a seed but not its surroundings, the windows over the seed, l words to the left of it and r
+to the right, tell how far the match goes on either side. Adjacent repeats unite to maximal ones,
+which are at least ``WINDOW`` words long by construction.
+
+A seed's documents are never paired with each other: each is joined with the smallest doc_id that
+has the same stretch or window, found by aggregations that combine before the shuffle. What is
+joined is a table by then, so that adaptive execution can split a hot key of the large side. So a
+passage in a third of all documents costs linear work.
 
 Semantics
 * Words are runs of other than space and U+0009 to U+000D, unchanged. A null or empty text
   has none. A window counts as repeated if it starts in a document with a smaller doc_id
   in the input; copies within one document don't count. Rows that repeat a doc_id are not
   smaller than each other, and each loses what its own text repeats. A row with a null doc_id takes no part and stays whole.
-* Comparison is by 64-bit hashes of windows that already share their 64-bit anchor.
+* Words decide; hashes only find the seeds.
 * Other columns are ignored. An empty table gives no rows.
 """
 
@@ -35,7 +37,7 @@ from .tokens import PLACES, Words, mix, signed, slices, sliding_argmin
 from .work import discard, key_and_text, materialize
 
 WINDOW = 13
-GRAM = 4
+GRAM = 6
 
 
 class _Windows:
@@ -66,7 +68,7 @@ def _seeds(window: int, gram: int):
 
 
 def _blocks(window: int, gram: int):
-    """Blocks of the anchors in the third column's lists."""
+    """Blocks of the anchors in the third column's lists, with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,23 +83,24 @@ def _blocks(window: int, gram: int):
                     of_row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(ends[lo : hi + 1]))
                     have = mix(wanted[ends[lo] : ends[hi]] + of_row * PLACES[0])
                     keep = np.isin(mix(w.anchor + w.row.astype(np.uint64) * PLACES[0]), have)
-                    at, place, anchor, row = w.at[keep], w.place[keep], w.anchor[keep], w.row[keep]
-                    if not len(at):
-                        continue
-                    new = np.ones(len(at), bool)
-                    new[1:] = place[1:] != place[:-1]
-                    first = np.flatnonzero(new)
-                    count = np.diff(np.append(first, len(at)))
-                    last = first + count - 1
-                    # A block is shorter than two windows, so its first and last cover its words.
-                    block = mix(w.hash[at[first]] * PLACES[1] + w.hash[at[last]] * PLACES[2] + count.astype(np.uint64))
-                windows = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(signed(w.hash[at])))
+                at, place, anchor, row = w.at[keep], w.place[keep], w.anchor[keep], w.row[keep]
+                if not len(at):
+                    continue
+                # A place anchors windows that follow each other: the seed reaches from the first to the last of them.
+                new = np.ones(len(at), bool)
+                new[1:] = place[1:] != place[:-1]
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(at)))
+                start, size = at[first], count - 1 + window
+                raw = data.tobytes()
+                texts = [b" ".join(raw[a:b].split()) for a, b in zip(words.start[start].tolist(), words.end[start + size - 1].tolist(), strict=True)]
+                row = row[first]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(anchor[first])), pa.array(signed(block)), pa.array(ids[lo + row[first]].astype(np.int64)),
-                        pa.array(keys[lo + row[first]].astype(np.int64)), pa.array((at[first] - words.first[row[first]]).astype(np.int32)), windows,
+                        pa.array(signed(anchor[first])), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(ids[lo + row].astype(np.int64)),
+                        pa.array(keys[lo + row].astype(np.int64)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)),
                     ],
-                    ["anchor", "block", "doc_id", "text_hash", "start", "windows"],
+                    ["anchor", "words", "doc_id", "text_hash", "start", "n"],
                 )
 
     return run
@@ -112,20 +115,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     of_doc = materialize(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "document-seeds")
     discard(seeds, shared)
     blocks = materialize(
-        docs.join(of_doc, "doc_id").select("doc_id", "text", "anchors", "text_hash").mapInArrow(_blocks(window, gram), "anchor long, block long, doc_id long, text_hash long, start int, windows array<long>"),
+        docs.join(of_doc, "doc_id").select("doc_id", "text", "anchors", "text_hash").mapInArrow(_blocks(window, gram), "anchor long, words string, doc_id long, text_hash long, start int, n int"),
         "seed-blocks",
     )
     discard(of_doc)
-    first = materialize(blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_doc")), "first-blocks")
-    mixed = materialize(first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("mixed")), "mixed-anchors")
+    # Documents meet on a seed extended as far as it anchors windows, word for word.
+    first = materialize(blocks.groupBy("anchor", "words").agg(F.min("doc_id").alias("first_doc")), "first-blocks")
+    mixed = materialize(first.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", F.lit(True).alias("mixed")), "mixed-anchors")
     marked = materialize(first.join(mixed, "anchor", "left"), "marked-blocks")
-    known = materialize(blocks.join(marked, ["anchor", "block"]).filter("first_doc < doc_id or mixed"), "known-blocks")
-    discard(blocks, first, mixed, marked)
-    whole = known.filter("first_doc < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
-    ends = known.filter("first_doc = doc_id").select("anchor", "doc_id", "text_hash", "start", F.posexplode("windows").alias("i", "w"))
-    earliest = ends.groupBy("anchor", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "w", "lo")
+    discard(first, mixed)
+    known = materialize(blocks.join(marked, ["anchor", "words"]).filter("first_doc < doc_id or mixed"), "known-blocks")
+    discard(blocks, marked)
+    whole = known.filter("first_doc < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
+    # Elsewhere the seed is the same and its surroundings differ: the match goes as far as l words to the
+    # left and r to the right, and each (l, r) that makes a window is looked up among the seed's documents.
+    # The words are split once: what a lambda holds is computed for each element.
+    each = F.flatten(F.transform(F.array(F.split("words", " ")), lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (window - 1)), lambda i: F.array_join(F.slice(ws, i, window), " "))))
+    partly = known.filter("first_doc = doc_id").select("anchor", "doc_id", "text_hash", "start", F.posexplode(each).alias("i", "w"))
+    earliest = partly.groupBy("anchor", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "w", "lo")
     earliest = materialize(earliest, "earliest-windows")
-    part = ends.join(earliest, ["anchor", "w"]).filter("lo < doc_id").select("doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + window).alias("end"))
+    at = F.col("start") + F.col("i")
+    part = partly.join(earliest, ["anchor", "w"]).filter("lo < doc_id").select("doc_id", "text_hash", at.alias("start"), (at + window).alias("end"))
     return whole.unionByName(part)
 
 

@@ -69,9 +69,9 @@ def slices(column: pa.Array, limit: int = SLICE, rows: int = 1 << 30) -> Iterato
 
 
 class Words:
-    """Words of a slice: ``row`` of each, ``first`` word of each row (n + 1), and ``hash``."""
+    """Words of a slice: ``row`` of each, its bytes from ``start`` to ``end``, ``first`` word of each row (n + 1), and ``hash``."""
 
-    __slots__ = ("row", "first", "hash")
+    __slots__ = ("row", "start", "end", "first", "hash")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         if lower:
@@ -84,6 +84,7 @@ class Words:
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | edge[1:-1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.start, self.end = start, end
         self.first = np.searchsorted(start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.hash = np.empty(len(start), _U)
