@@ -17,8 +17,10 @@ intervals of the array are united by falling common prefix; where two meet, each
 the smaller is looked up among the reversed texts of the larger. A pair with f common bytes
 to the right and b to the left, f + b >= LENGTH, marks that stretch in both.
 
-Grams with over ``HOT`` suffixes are not gathered in one task: their windows are counted by
-128-bit digests, combined before the shuffle. That is exact too and splits by window.
+Around a gram with over ``HOT`` suffixes the array is not sparse: every window over it is a suffix
+of its own. Such a suffix needs no text to its left, and only its first ``LENGTH`` bytes are
+compared, so that it is sorted by a 128-bit digest of them and counted before the shuffle. The
+result is the same; no task then holds what a gram of a third of all documents gathers.
 
 Semantics
 * Bytes are those of the UTF-8 text; null is the empty text. A byte goes if any ``LENGTH``-byte
@@ -48,6 +50,9 @@ HOT = 50_000
 CHUNK = 1 << 18
 #: A map task's suffixes are sorted and sent when they come to this many.
 RUN_ITEMS = 30_000
+#: Suffixes that a bucket holds on average: with their contexts, about 30 MB in the task that merges them.
+#: No gram adds more than HOT to it.
+BUCKET_ITEMS = 40_000
 NO_ID = -(2**63)
 
 
@@ -361,7 +366,9 @@ def repeats(keyed: DataFrame) -> DataFrame:
     )
     listed = materialize(listed, "document-suffixes")
     discard(seeds, several)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = listed.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    # A merge holds the runs of its bucket: as many buckets as keep that bounded, whatever the input's size.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sized // BUCKET_ITEMS))
     sorting = texts.join(listed.filter(F.size("seeds") > 0), ["id", "sum"]).select("id", "sum", "text", "seeds")
     runs = sorting.mapInArrow(_runs(buckets), "bucket int, run binary")
     span = "id long, sum long, start long, end long"
