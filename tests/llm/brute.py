@@ -183,6 +183,8 @@ def languages(rows):
             if odd == 1:
                 middle = max(1, int((len(text) - 4096) / 2)) - 1
                 text = text[middle : middle + 4096]
+            if text in parts:
+                continue
             if not parts or sum(len(p.encode()) for p in parts) + len(text.encode()) <= 112 * 1024:
                 parts.append(text)
         content = "\n".join(parts[::-1]).lower().encode()

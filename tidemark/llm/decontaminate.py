@@ -86,7 +86,7 @@ def _maybe(bits: Column, h: Column, size: int) -> Column:
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(``row_id, doc_id, n_words``) of every row, and (``row_id, start, end, wkey``) of every window in them."""
+    """(``row_id, doc_id, sum, n_words``) of every row, and (``row_id, start, end, wkey``) of every window in them."""
     s = F.least(F.col("wlen"), F.lit(shingle))
     shingles = windows.select("wkey", "words", "wlen", s.alias("s"), F.explode(F.sequence(F.lit(1), F.col("wlen") - s + 1)).alias("off"))
     shingles = materialize(
@@ -94,7 +94,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shing
     )
     sizes = [r["s"] for r in shingles.select("s").distinct().collect()]  # at most SHINGLE of them
     reach, bits = window - 1, _bits_for(shingles.count())
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("w"), _bitmap(shingles.select("h").distinct(), bits).scalar().alias("bits"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sum"), words_of(F.col("text")).alias("w"), _bitmap(shingles.select("h").distinct(), bits).scalar().alias("bits"))
     rows = rows.withColumn("n_words", F.size("w"))
     hash_at = lambda i, size: F.xxhash64(F.lit(size), F.slice(F.col("w"), i, size))
 
@@ -111,7 +111,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shing
     empty = "array<struct<pos:int,h:bigint,lo:int,around:array<string>>>"
     found = F.concat(*[hits(x) for x in sorted(sizes)]) if sizes else F.array()
     marked = materialize(
-        rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col("n_words").cast("long").alias("n_words"), found.cast(empty).alias("hits")), "document-hits"
+        rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "sum", F.col("n_words").cast("long").alias("n_words"), found.cast(empty).alias("hits")), "document-hits"
     )
     hit = marked.select("row_id", "n_words", F.explode("hits").alias("x")).select("row_id", "n_words", "x.*")
     counts = hit.groupBy("h").agg(F.count("*").alias("n_docs"))
@@ -122,7 +122,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shing
     start = F.col("pos") - F.col("off") + 1
     near = hit.join(prefix, "h").withColumn("start", start).filter((F.col("start") >= 1) & (F.col("start") + F.col("wlen") - 1 <= F.col("n_words")))
     exact = near.filter(F.slice("around", F.col("start") - F.col("lo") + 1, F.col("wlen")) == F.col("words"))
-    return marked.select("row_id", "doc_id", "n_words"), exact.select("row_id", "start", (F.col("start") + F.col("wlen") - 1).alias("end"), "wkey").distinct()
+    return marked.select("row_id", "doc_id", "sum", "n_words"), exact.select("row_id", "start", (F.col("start") + F.col("wlen") - 1).alias("end"), "wkey").distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -140,7 +140,7 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, shingle: int = SHINGLE,
 ) -> DataFrame:
-    """``doc_id, n_words, n_hit, item_ids, contaminated`` for every row of ``docs``."""
+    """``doc_id, n_words, n_hit, item_ids, contaminated, sum`` for every row of ``docs``; ``sum`` is a hash of its text."""
     windows, owners = windows_of(benchmark, item_col, item_text_col, window)
     rows, found = occurrences(key_and_text(docs, id_col, text_col), windows, window, shingle)
     found = materialize(found, "window-occurrences")
@@ -153,7 +153,7 @@ def decontaminate(
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), "sum",
     )
 
 
