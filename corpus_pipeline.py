@@ -3,8 +3,9 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns documents; all but the last keep the
 columns of ``documents``. Between stages the rows are a Parquet table.
 
-Decisions go by ``doc_id``: rows that repeat one share its decision, and rows without one pass
-the three stages that drop by id. Null or empty texts have no letters, so the first stage drops
+Decisions go by row: a row that repeats a ``doc_id`` with another text is judged by its own text,
+except that near copies of one of a document's texts count for all of them. Rows without a ``doc_id``
+pass the three stages that compare documents. Null or empty texts have no letters, so the first stage drops
 them. Other columns than those of ``documents`` are left out; an empty table gives no rows.
 """
 
@@ -26,26 +27,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.classify(docs.select(*COLUMNS), dictionaries).filter(~F.col("rejected")).select(*COLUMNS)
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", how).select(*COLUMNS)
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` but for the rows found, told by ``doc_id`` and ``sum``, a hash of the text."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("sum"))
+    return keyed.join(found.select("doc_id", "sum").distinct(), ["doc_id", "sum"], "left_anti").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
     decided = exact_dedup.exact_dedup(docs)
-    return _only(docs, decided.filter("not kept").distinct(), "left_anti")
+    gone = decided.filter("not kept and doc_id is not null").select("doc_id", "digest").distinct()
+    keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    return keyed.join(gone, ["doc_id", "digest"], "left_anti").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id stays."""
-    found = jaccard_join.jaccard_join(docs)
-    return _only(docs, found.filter("component_id <> doc_id").distinct(), "left_anti")
+    return _without(docs, jaccard_join.jaccard_join(docs).filter("component_id <> doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with enough words inside benchmark windows go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.filter("contaminated").distinct(), "left_anti")
+    return _without(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
