@@ -179,6 +179,73 @@ def test_contamination_of_long_texts(spark):
     assert contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")) == sorted(brute.contamination(rows, items), key=repr)
 
 
+def _unlike_the_training(r):
+    """(text, added spans it should give): sentences of other shapes and words than the model was trained on."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    text, want = "", []
+
+    def say(x, kind=None):
+        nonlocal text
+        if kind:
+            want.append((kind, len(text), len(text) + len(x)))
+        text += x
+
+    for _ in range(r.randrange(1, 4)):
+        area, mid, end = d(3), d(3), d(4)
+        user = f"{r.choice(['kim', 'noor', 'sasha', 'lee'])}.{d(3)}"
+        four = [str(r.randrange(1, 255)) for _ in range(4)]
+        kind = r.randrange(8)
+        if kind == 0:  # a bare number long before its full form
+            say("Mornings try "), say(f"{area}-{mid}-{end}", "phone"), say(". " + "Nothing else happened that day. " * r.randrange(1, 9))
+            say(f"Abroad: +1 {area} {mid} {end}. ")
+        elif kind == 1:
+            say(f"Write to {user}@post.example.org; on the forum "), say(user, "email"), say(" answers within days. ")
+        elif kind == 2:
+            say(f"Host {'.'.join(four)} went down, logs name "), say("[.]".join(four), "ip"), say(" again. ")
+        elif kind == 3:
+            say("Ask Dr. "), say("Willow", "name"), say(" first; "), say("Willow", "name"), say(" knows. ")
+        elif kind == 4:
+            say(f"Ticket {d(8)} closed on 20{d(2)}-{d(2)}-{d(2)}, total {d(3)}.{d(2)}. ")
+        elif kind == 5:
+            say(f"Part number {d(4)}-{d(6)} fits model {d(7)}. ")
+        elif kind == 6:
+            say(f"The {d(4)} census counted {d(3)} {d(3)} {d(3)} people. ")
+        else:
+            say("Plain words without any figures at all. ")
+    return text, want
+
+
+def test_pii_beyond_the_training_templates():
+    """Held-out shapes: what the field adds is right, and it finds most of what repeats."""
+    r = brute.random.Random(77)
+    weights = pii.trained()
+    hit = wrong = missed = 0
+    for _ in range(500):
+        text, want = _unlike_the_training(r)
+        got = set(pii.added_spans(weights, text, pii.base_spans(text)))
+        hit, wrong, missed = hit + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    assert hit / (hit + missed) > 0.85 and hit / (hit + wrong) > 0.9, (hit, wrong, missed)
+
+
+def test_pii_added_spans_lie_apart():
+    """Nested and overlapping base spans, and candidates around them."""
+    r = brute.random.Random(5)
+    bits = ["+1 (555) 123-4567", "555-123-4567", "4785380592391139", "4785.3805.9239.1139", "10.0.0.1", "10[.]0[.]0[.]1", "a.b12@x.com", "a.b12", "a.b12 [at] x.com", "+", "4", ".", " ", "1.2.3.4.5.6.7.8", "Dr. Elm", "Elm", "@"]
+    weights = pii.trained()
+    for _ in range(1500):
+        text = "".join(r.choice(bits) + r.choice(["", " ", ""]) for _ in range(r.randrange(1, 12)))
+        base = pii.base_spans(text)
+        added = sorted((s, e) for _, s, e in pii.added_spans(weights, text, base))
+        assert all(a[1] <= b[0] for a, b in zip(added, added[1:], strict=False))
+        assert not any(s < y and x < e for s, e in added for _, x, y in base)
+
+
+def test_pii_long_before_its_full_form():
+    text = " ".join(["call 555-123-4567 now"] * 40) + " +1 (555) 123-4567"
+    found = pii.added_spans(pii.trained(), text, pii.base_spans(text))
+    assert len(found) == 40 and {k for k, _, _ in found} == {"phone"}
+
+
 # --- language
 
 SAY = {"en": "the of and to in is that it was for with this", "de": "der die und das ist nicht mit ein auf für sich", "fr": "le la les des et est une dans pour que qui avec"}

@@ -9,7 +9,7 @@ phone number found elsewhere becomes a phone number too. Base mentions are obser
 
 Semantics
 * Offsets are code points, ends exclusive. A null text is the empty text. Whole texts are
-  read; skip edges join each mention to the one before with its key and to the last observed
+  read; skip edges join each mention to the one before with its key and to the last and the next observed
   one, so their number is linear in the text.
 * Base spans always stay; added ones never overlap a base span or each other.
 * Rows repeat as they are; columns other than the id and the text are ignored; an empty
@@ -144,13 +144,18 @@ def _shape(text: str, start: int, end: int) -> list[str]:
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Node]:
     """Base spans and candidates, in text order; candidates never overlap what was taken before."""
-    taken: list[tuple[int, int]] = sorted((s, e) for _, s, e in base)
+    # Base spans of different kinds may nest or overlap: what they cover, as intervals apart from each other.
+    taken: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
     starts = [s for s, _ in taken]
 
     def free(s: int, e: int) -> bool:
         i = bisect.bisect_left(starts, e)
-        # Base spans of different kinds may nest, so look back past the nearest one.
-        return not any(taken[j][1] > s for j in range(max(0, i - 4), i))
+        return not i or taken[i - 1][1] <= s
 
     nodes, locals_ = [], set()
     for kind, s, e in base:
@@ -204,8 +209,18 @@ CHAIN, SAME, SIMILAR = 0, 1, 2
 
 
 def edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
-    """Chain edges between neighbours, skip edges to the last mention with the same key and to the last observed one."""
+    """Chain edges between neighbours; skip edges to the last mention with the same key, and to the last and the next observed one."""
     out, last, observed = [], {}, {}
+    later: list[list[tuple[int, tuple]]] = [[] for _ in nodes]
+    coming, nearest = {}, {}
+    for i in range(len(nodes) - 1, -1, -1):
+        for key in nodes[i].keys:
+            # Where the next mention is the observed one, it links back itself.
+            if nodes[i].label is None and key in coming and nearest[key] != coming[key]:
+                later[i].append((coming[key], key))
+            nearest[key] = i
+            if nodes[i].label is not None:
+                coming[key] = i
     for i, n in enumerate(nodes):
         if i and n.start - nodes[i - 1].end <= NEAR:
             out.append((i - 1, i, CHAIN))
@@ -218,6 +233,10 @@ def edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
             last[key] = i
             if n.label is not None:
                 observed[key] = i
+        for j, key in later[i]:
+            if j not in linked:
+                linked.add(j)
+                out.append((i, j, SIMILAR if key[0] == "tail" else SAME))
     return out
 
 
@@ -279,6 +298,12 @@ def _generated(rng: random.Random) -> tuple[str, dict[tuple[int, int], int]]:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     parts: list[tuple[str, str | None]] = []
     say = lambda *x: parts.extend(x)
+
+    def spread(*found: tuple[str, str]) -> None:
+        """Mentions of one thing with words between them; the full form, which comes first here, may stand anywhere."""
+        for x in rng.sample(found, len(found)) if rng.random() < 0.5 else found:
+            say((" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))), None), x)
+
     for _ in range(rng.randint(2, 6)):
         say((" ".join(rng.choice(words) for _ in range(rng.randint(2, 25))), None))
         a, b, c = d(3), d(3), d(4)
@@ -286,13 +311,13 @@ def _generated(rng: random.Random) -> tuple[str, dict[tuple[int, int], int]]:
         kind = rng.randrange(14)
         gap = (" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))), None)
         if kind == 0:
-            say((f"+1 ({a}) {b}-{c}", "phone"))
-            for _ in range(rng.randint(1, 3)):
-                say(gap, (rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}{b}{c}", f"{b}-{c}"]), "phone"))
+            spread((rng.choice([f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+1{a}{b}{c}", f"+1-{a}-{b}-{c}"]), "phone"), *[
+                (rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}{b}{c}", f"{b}-{c}", f"{a}.{b}.{c}"]), "phone") for _ in range(rng.randint(1, 3))
+            ])
         elif kind == 1:
             say((rng.choice(["call", "phone:", "tel.", "mobile", "fax"]), None), (rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}"]), "phone"))
         elif kind == 2:
-            say((f"{local}@mail{d(1)}.example.com", "email"), gap, (local, "email"))
+            spread((f"{local}@mail{d(1)}.example.com", "email"), (local, "email"))
         elif kind == 3:
             say((f"{local} {rng.choice(['[at]', '(at)', '{at}'])} site{d(1)}{rng.choice(['.com', ' [dot] com', ' (dot) org'])}", "email"))
         elif kind == 4:
@@ -300,12 +325,10 @@ def _generated(rng: random.Random) -> tuple[str, dict[tuple[int, int], int]]:
         elif kind == 5:
             body = d(15)
             body += next(x for x in "0123456789" if luhn(body + x))
-            say((body, "card"))
-            for _ in range(rng.randint(1, 3)):
-                say(gap, (rng.choice([".".join(re.findall("....", body)), body[:8] + "." + body[8:]]), "card"))
+            spread((body, "card"), *[(rng.choice([".".join(re.findall("....", body)), body[:8] + "." + body[8:]]), "card") for _ in range(rng.randint(1, 3))])
         elif kind == 6:
             four = [str(rng.randint(10, 250)) for _ in range(4)]
-            say((".".join(four), "ip"), gap, ("[.]".join(four), "ip"))
+            spread((".".join(four), "ip"), ("[.]".join(four), "ip"))
         elif kind == 7:
             name = rng.choice(["Alder", "Birch", "Cedar", "Hazel", "Rowan", "Maple"])
             say((rng.choice(["Mr.", "Mrs.", "Dr.", "Prof."]), None), (name, "name"), gap, (name, "name"))
