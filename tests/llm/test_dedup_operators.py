@@ -260,3 +260,13 @@ def test_jaccard_join_of_many_close_sets(spark, monkeypatch):
         rows.append((1000 - i, " ".join(words[: r.randrange(max(5, len(words) - 6), len(words) + 1)])))
     got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(frame(spark, rows)).collect())
     assert got == sorted(brute.components(rows))
+
+
+def test_suffix_dedup_with_repeated_ids(spark):
+    """Rows of one id with different texts, equal rows, null ids: each row loses what its own text repeats."""
+    r = brute.random.Random(9)
+    say = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    shared = [say(n) for n in (380, 420, 700)]
+    rows = [(r.randrange(12), say(r.randrange(300)) + r.choice(shared) + say(r.randrange(300))) for _ in range(40)]
+    rows += [(None, say(50) + shared[2]), (None, None), (3, None), (3, ""), (4, shared[1]), (4, shared[1]), (5, say(1500))]
+    assert rows_of(suffix(frame(spark, rows))) == sorted(brute.suffixes(rows), key=repr)

@@ -40,7 +40,7 @@ BLOCK = 4096
 #: alone a short one would not make the coder leave its raw mode.
 TAIL = 300
 #: Rejected where the best total is not at least this share under the next one. Of held-out documents of 10,000,
-#: 0.2 % of those decided right are under it (texts of a few words, on equal bytes), and four in five in a
+#: 0.2 % of those decided right are under it (texts of a few words, on equal bytes), and over three quarters of those in a
 #: language that was left out of the training.
 MARGIN = 0.02
 #: Of the logistic curve that turns the margin in bits into a score.
