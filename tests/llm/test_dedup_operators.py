@@ -134,6 +134,40 @@ def test_suffix_hot_grams(spark):
         suffix_dedup.HOT = before
 
 
+def test_suffix_hot_regions(spark, monkeypatch):
+    """Copies, near copies, a shared passage in many surroundings, one at the ends of texts, periods, and equal rows."""
+    import random
+
+    r = random.Random(23)
+    words = [f"w{i:03d}" for i in range(400)]
+    free = lambda n: " ".join(f"u{r.randrange(10**7)}" for _ in range(n))
+    base = [r.choice(words) for _ in range(160)]
+    passage = " ".join(r.choice(words) for _ in range(90))
+    rows = [(i, " ".join(base)) for i in range(8)]
+    rows += [(20 + i, " ".join([*base[: 10 * i], f"n{i}", *base[10 * i + 1 :]])) for i in range(12)]
+    rows += [(40 + i, f"{free(r.randrange(40))} {passage[i * 5 :]} {free(r.randrange(40))}".strip()) for i in range(12)]
+    rows += [(60, passage), (61, passage + free(30)), (62, free(30) + passage), (62, free(30) + passage), (63, "ab" * 700), (64, "ab" * 199 + "a"), (65, "ab" * 300)]
+    rows += [(70, free(150)), (70, free(150)), (None, passage), (None, passage), (71, None), (72, "")]
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    known = [x for x in rows if x[0] is not None]
+    got = [x for x in rows_of(suffix(frame(spark, rows))) if x[0] is not None]
+    assert got == sorted((x for x in brute.suffixes(rows) if x[0] is not None), key=repr) and len(got) == len(known)
+
+
+def test_suffix_buckets_are_even():
+    """Anchors have low hashes; the ranges they are dealt by hold as many all the same."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["id", "sum", "text"])
+    grams = [g % 2**64 * 8 >> 64 for b in suffix_dedup._seeds([batch]) for g in b.column(0).to_pylist()]
+    share = [grams.count(k) / len(grams) for k in range(8)]
+    assert len(grams) > 1500 and min(share) > 0.08 and max(share) < 0.17
+
+
 def test_loser_tree_and_front_coding():
     import random
 

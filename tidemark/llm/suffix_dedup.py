@@ -7,20 +7,24 @@ anchors only, about one position in 180, and only where the anchor's gram occurs
 
 Sorting. Each map task sorts its suffixes into runs, cuts them at ``LENGTH`` bytes and
 front-codes them: a suffix is sent as the length it has in common with the one before, and
-the rest. Runs are exchanged by gram. A loser tree merges them; each head carries the length
-it has in common with the last output, two heads are compared from there on, and only where
-these lengths are equal, so that no known prefix is compared again. The merge yields the
-common-prefix array with the order.
+the rest. Keys begin with an evenly spread hash of the gram and buckets are equal ranges of
+it, so that the order is total over all buckets. A loser tree merges the runs of a bucket;
+each head carries the length it has in common with the last output, two heads are compared
+from there on, and only where these lengths are equal, so that no known prefix is compared
+again. The merge yields the common-prefix array with the order.
 
 Matching. With each suffix goes the reversed text to its left. Among the suffixes of a gram,
 intervals of the array are united by falling common prefix; where two meet, each suffix of
 the smaller is looked up among the reversed texts of the larger. A pair with f common bytes
 to the right and b to the left, f + b >= LENGTH, marks that stretch in both.
 
-Around a gram with over ``HOT`` suffixes the array is not sparse: every window over it is a suffix
-of its own. Such a suffix needs no text to its left, and only its first ``LENGTH`` bytes are
-compared, so that it is sorted by a 128-bit digest of them and counted before the shuffle. The
-result is the same; no task then holds what a gram of a third of all documents gathers.
+Around a gram with over ``HOT`` suffixes every window is a suffix of its own, and counting
+takes the place of gathering, so that no task holds what a gram of a third of all documents
+gathers. Windows are taken ``STEP`` at a time: those that begin within ``STEP`` bytes lie in
+one region and share its middle. A region that occurs twice repeats wholly; of equal regions
+one goes on. Only regions whose middle occurs in another region too can share a window with
+it; their windows are sorted one by one. Regions, middles and windows are told by 128-bit
+digests of their bytes. The result is the same.
 
 Semantics
 * Bytes are those of the UTF-8 text; null is the empty text. A byte goes if any ``LENGTH``-byte
@@ -47,6 +51,8 @@ from .work import discard, key_and_text, materialize
 LENGTH = 400
 GRAM = 32
 HOT = 50_000
+#: Windows around a hot gram that are told by one region.
+STEP = 23
 CHUNK = 1 << 18
 #: A map task's suffixes are sorted and sent when they come to this many.
 RUN_ITEMS = 30_000
@@ -96,6 +102,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, gram = byte_anchors(data, offsets)
             if len(place):
                 row = np.searchsorted(offsets, place, "right") - 1
+                gram = mix(gram)  # anchors have low hashes
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(gram)), pa.array(ids[lo + row]), pa.array(sums[lo + row]), pa.array((place - offsets[row]).astype(np.int64))], ["gram", "id", "sum", "place"]
                 )
@@ -292,7 +299,7 @@ def _runs(buckets: int):
                     place = start + seed["place"]
                     key = seed["gram"].to_bytes(8, "big", signed=True) + data[place : min(end, place + LENGTH)].tobytes()
                     left = data[max(start, place - LENGTH + GRAM) : place][::-1].tobytes()
-                    held.append((seed["gram"] % buckets, key, left, *owner, seed["place"]))
+                    held.append(((seed["gram"] % 2**64) * buckets >> 64, key, left, *owner, seed["place"]))
                     if len(held) >= RUN_ITEMS:
                         yield flush()
         if held:
@@ -326,25 +333,59 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(out)
 
 
+def _parts(batch: pa.RecordBatch, begins) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]]:
+    """Bytes, places in them, places in the text and owner columns, piece by piece, for what ``begins(i, size)`` asks of text i."""
+    data, at = buffers(batch.column(2))
+    for i in range(batch.num_rows):
+        start, end = int(at[i]), int(at[i + 1])
+        wanted = begins(i, end - start)
+        for lo in range(0, end - start, CHUNK):
+            here = wanted[(wanted >= lo) & (wanted < lo + CHUNK)]
+            if len(here):
+                base = max(0, lo - STEP)
+                part = data[start + base : min(end, start + lo + CHUNK + LENGTH)]
+                yield part, here - base, here, [pa.array([batch.column(c)[i].as_py()] * len(here), pa.int64()) for c in (0, 1)]
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the regions around the hot seeds of a document, and of their middles."""
+    narrow = LENGTH - STEP + 1
+    shifts = np.arange(0, LENGTH - GRAM + 1, STEP)
+
+    for batch in batches:
+
+        def middles(i: int, size: int, batch: pa.RecordBatch = batch) -> np.ndarray:
+            found = np.unique((np.array(batch.column(3)[i].as_py(), np.int64)[:, None] - shifts).ravel())
+            found = found[(found >= 0) & (found + narrow <= size)]
+            # What lies before and behind, as far as the text goes, has to hold a window.
+            return found[np.minimum(found + LENGTH, size) - np.maximum(found - STEP + 1, 0) >= LENGTH]
+
+        for part, local, here, owner in _parts(batch, middles):
+            # A piece begins at least STEP bytes before its places, or with the text; it ends LENGTH behind, or with the text.
+            first, last = np.maximum(local - STEP + 1, 0), np.minimum(local + LENGTH, len(part)) - LENGTH
+            size = (last + LENGTH - first).astype(np.uint64)
+            columns = []
+            for salt in (0, 30):
+                whole, middle = _gram_hashes(part, LENGTH, salt), _gram_hashes(part, narrow, salt)[local]
+                with np.errstate(over="ignore"):
+                    region = mix(whole[first] + mix(whole[last] + mix(middle + size)))
+                columns += [pa.array(signed(region)), pa.array(signed(middle))]
+            r1, n1, r2, n2 = columns
+            yield pa.RecordBatch.from_arrays(
+                [r1, r2, n1, n2, *owner, pa.array(here - local + first), pa.array(here - local + last + LENGTH)], ["r1", "r2", "n1", "n2", "id", "sum", "start", "end"]
+            )
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of all windows over the hot seeds of a document."""
+    """Digests of all windows in the regions of a document."""
     for batch in batches:
-        data, at = buffers(batch.column(2))
-        for i in range(batch.num_rows):
-            start, end = int(at[i]), int(at[i + 1])
-            places = np.sort(np.array(batch.column(3)[i].as_py(), np.int64))
-            spread = np.unique((places[:, None] - np.arange(LENGTH - GRAM + 1)[None, :]).ravel())
-            begins = spread[(spread >= 0) & (spread + LENGTH <= end - start)]
-            for lo in range(0, end - start, CHUNK):
-                here = begins[(begins >= lo) & (begins < lo + CHUNK)]
-                if len(here):
-                    part = data[start + lo : min(end, start + lo + CHUNK + LENGTH)]
-                    d1, d2 = (_gram_hashes(part, LENGTH, salt)[here - lo] for salt in (0, 30))
-                    n = len(here)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(d1)), pa.array(signed(d2)), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), pa.array(here)],
-                        ["d1", "d2", "id", "sum", "start"],
-                    )
+
+        def windows(i: int, _: int, batch: pa.RecordBatch = batch) -> np.ndarray:
+            return np.unique(np.concatenate([np.arange(r["start"], r["end"] - LENGTH + 1, dtype=np.int64) for r in batch.column(3)[i].as_py()]))
+
+        for part, local, here, owner in _parts(batch, windows):
+            d1, d2 = (_gram_hashes(part, LENGTH, salt)[local] for salt in (0, 30))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(d1)), pa.array(signed(d2)), *owner, pa.array(here)], ["d1", "d2", "id", "sum", "start"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -353,6 +394,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("sum"), text.alias("text"))
 
 
+def _hot_repeats(texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``id, sum, start, end``: stretches around hot grams that repeat."""
+    spans = ["id", "sum", "start", "end"]
+    schema = "r1 long, r2 long, n1 long, n2 long, id long, sum long, start long, end long"
+    regions = materialize(texts.join(hot, ["id", "sum"]).select("id", "sum", "text", "hot").mapInArrow(_regions, schema), "hot-regions")
+    # All of `first` are of one row.
+    kinds = regions.groupBy("r1", "r2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n1", "n2", *spans)])
+    kinds = materialize(kinds, "region-kinds")
+    whole = materialize(kinds.filter("n > 1").select("r1", "r2"), "repeated-regions")
+    found = regions.join(whole, ["r1", "r2"]).select(*spans)
+    middles = materialize(kinds.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2"), "repeated-middles")
+    edges = kinds.join(middles, ["n1", "n2"]).groupBy("id", "sum").agg(F.collect_list(F.struct("start", "end")).alias("regions"))
+    edges = materialize(edges, "document-regions")
+    discard(kinds, middles)
+    windows = texts.join(edges, ["id", "sum"]).select("id", "sum", "text", "regions").mapInArrow(_digests, "d1 long, d2 long, id long, sum long, start long")
+    windows = materialize(windows, "hot-windows")
+    # A window may be told twice of one place, by equal rows: their regions repeat, so places are compared, not counted.
+    places = [f(c).alias(f"{f.__name__}_{c}") for c in ("id", "sum", "start") for f in (F.min, F.max)]
+    twice = windows.groupBy("d1", "d2").agg(*places).filter("min_id < max_id or min_sum < max_sum or min_start < max_start").select("d1", "d2")
+    twice = materialize(twice, "repeated-windows")
+    discard(edges)
+    return found.unionByName(windows.join(twice, ["d1", "d2"]).select("id", "sum", "start", (F.col("start") + LENGTH).alias("end")))
+
+
 def repeats(keyed: DataFrame) -> DataFrame:
     """``id, sum, start, end``: stretches of bytes that repeat; they may overlap."""
     spark = keyed.sparkSession
@@ -375,10 +440,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
     found = runs.repartitionById(buckets, "bucket").mapInArrow(_merge, span)
     hot = listed.filter(F.size("hot") > 0).select("id", "sum", "hot")
     if not hot.isEmpty():
-        windows = materialize(texts.join(hot, ["id", "sum"]).select("id", "sum", "text", "hot").mapInArrow(_digests, "d1 long, d2 long, id long, sum long, start long"), "hot-windows")
-        twice = materialize(windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-windows")
-        more = windows.join(twice, ["d1", "d2"]).select("id", "sum", "start", (F.col("start") + LENGTH).alias("end"))
-        found = found.unionByName(more)
+        found = found.unionByName(_hot_repeats(texts, hot))
     return found
 
 
