@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery
-from ..functions.aggregates import aggregate
+from ..functions.aggregates import aggregate, present
 from ..functions.buckets import gap_fill, time_bucket
 from ..model import Measurement, Query
 from ..operators.filters import in_range, to_column
+from ..operators.percentiles import exact_percentiles
 from ..operators.windows import apply_window, ordering
 
 
@@ -35,10 +36,15 @@ def _aggregated(q: Query, m: Measurement, df: DataFrame, types: dict[str, str])
     for tag in q.group_by:
         if tag not in types:
             raise InvalidQuery(f"no column {tag!r} to group by")
-    columns = []
+    columns, percentiles = [], {}
+    # Groups of a bounded time span are gathered; whole series are not.
+    apart = q.every is None and not df.isStreaming
     for a in q.aggregates:
         if a.field != "*" and a.field not in types:
             raise InvalidQuery(f"no column {a.field!r} to aggregate")
+        if apart and a.function.name == "percentile" and a.field != "*":
+            percentiles.setdefault(a.field, {})[a.name] = a.function.percent / 100
+            continue
         columns.append(aggregate(a.function, a.field, types.get(a.field, ""), "time", m.tiebreak).alias(a.name))
     keys = [F.col(t) for t in q.group_by]
     if q.every is not None:
@@ -49,7 +55,13 @@ def _aggregated(q: Query, m: Measurement, df: DataFrame, types: dict[str, str])
             counts = [a.name for a in q.aggregates if a.function.name == "count"]
             out = gap_fill(out, "time", q.every, q.range.start, q.range.end, q.group_by, counts, origin)
         return out
-    return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
+    if not percentiles:
+        return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
+    # Each part gives its columns of a group; the first one knows all groups.
+    out = df.groupBy(*keys).agg(*columns or [F.first(F.lit(None)).alias("_")])
+    for name, wanted in percentiles.items():
+        out = out.unionByName(exact_percentiles(df, q.group_by, present(F.col(name), types[name]).cast("double"), wanted), allowMissingColumns=True)
+    return out.groupBy(*keys).agg(*[F.first(F.col(f"`{a.name}`"), ignorenulls=True).alias(a.name) for a in q.aggregates])
 
 
 def _projected(q: Query, m: Measurement, df: DataFrame) -> DataFrame:
