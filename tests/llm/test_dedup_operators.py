@@ -154,6 +154,23 @@ def test_suffix_hot_regions(spark, monkeypatch):
     assert got == sorted((x for x in brute.suffixes(rows) if x[0] is not None), key=repr) and len(got) == len(known)
 
 
+def test_suffix_passage_at_the_limit(spark):
+    """Over 50 words shared by two documents stay at 399 bytes, as the contract has it, and go at 400."""
+    import random
+
+    r = random.Random(5)
+    free = lambda: " ".join(f"u{r.randrange(10**7)}" for _ in range(60))
+    rows = []
+    for i, size in ((1, 399), (3, 400)):
+        passage = " ".join(f"{r.randrange(10**6):06d}" for _ in range(54))
+        passage += "x" * (size - 2 - len(passage))
+        assert len(passage.split()) > 50
+        rows += [(i, f"{free()}a {passage} c{free()}"), (i + 1, f"{free()}b {passage} d{free()}")]
+    got = rows_of(suffix(frame(spark, rows)))
+    assert got == sorted(brute.suffixes(rows), key=repr)
+    assert [x[2] for x in got] == [0, 0, 400, 400]
+
+
 def test_suffix_buckets_are_even():
     """Anchors have low hashes; the ranges they are dealt by hold as many all the same."""
     import random
